@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import p1_secrets, p2_near, p4_copies
+from . import p1_secrets, p2_near, p4_copies, p6_parse, p7_pack, p8_leaks, p9_cut
+
+#: Vocabulary for token counts; another file by the session setting loomwork.vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _p1_all(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +53,55 @@ def p4_statements(spark: SparkSession, d: str) -> DataFrame:
     return p4_copies.statements(table(spark, d, "extracted_sql"), "sql_id", "sql")
 
 
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return p6_parse.parse_files(table(spark, d, "code_file"), table(spark, d, "migration_result"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_parse.parse_files(table(spark, d, "code_file")).filter("not valid").select("file_id")
+
+
+def p6_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Where and why each invalid file fails, and whether a migration told errors."""
+    return _p6(spark, d).filter("not valid")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p6_parse.rates(_p6(spark, d))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = spark.conf.get("loomwork.vocabulary", VOCABULARY)
+    sizes = p7_pack.token_counts(table(spark, d, "documents"), "doc_id", "text", vocabulary if os.path.exists(vocabulary) else None)
+    return p7_pack.containers(sizes, table(spark, d, "container_spec")).withColumnRenamed("doc", "doc_id")
+
+
+def p7_fills(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pack.fills(p7_containers(spark, d))
+
+
+def _p8(spark: SparkSession, d: str, gap: int) -> DataFrame:
+    index = p8_leaks.PositionalIndex.build(table(spark, d, "documents"), "doc_id", "text")
+    return p8_leaks.matches(index, table(spark, d, "eval_item"), "item_id", "passage", gap)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d, 2).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold half an item word for word, with the length of the stretch."""
+    return _p8(spark, d, 1).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words", "of")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_cut.judged(table(spark, d, "documents"), "doc_id", "text", "source").filter("cut").select(F.col("id").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p9_cut.rates(p9_cut.judged(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
@@ -55,4 +109,13 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_statements": p4_statements,
+    "p6_found": p6_found,
+    "p6_failures": p6_failures,
+    "p6_rates": p6_rates,
+    "p7_containers": p7_containers,
+    "p7_fills": p7_fills,
+    "p8_found": p8_found,
+    "p8_phrases": p8_phrases,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
