@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["dataops"]
+MODULES = ["dataops", "profiling", "code", "files", "relational"]
 
 
 def _modules() -> list:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_rates"](spark, sf_dir)
+    return queries()["profile_lineitem"](spark, sf_dir)
