@@ -60,5 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage with a table in the shared folder: columnar and compressed, unlike a checkpoint."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
