@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index and offset intersection.
 
-The corpus is indexed once: of each term and document the positions, stored by
-term in the shared folder, hot terms spread over salts. A test item is looked
-up through its rarest terms: pairs of neighbouring words are chosen so that
-every stretch of half the item holds one pair. As only single words may be
-replaced, one word of each pair then stands in any matching document, at its
-offset. The candidates (document, item, offset) are verified on the full
-posting lists of the item's terms.
+The corpus is indexed once: a row per word with its document and position,
+stored by term in the shared folder, hot terms spread over salts. A test item
+is looked up through its rarest terms: windows of four neighbouring words are
+chosen so that every stretch of half the item holds one whole window. As only
+single words may be replaced, two words of the window then stand in any
+matching document at the same offset. The candidates (document, item, offset)
+that have two such words are verified on the posting lists of all the item's
+terms.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import stage, work_path
 
 #: Terms are spread over this many salts by document, so that no term is one task's.
 SALTS = 16
 #: Items of fewer words have no stretch that tells them from chance; they take no part.
-LEAST_WORDS = 6
+LEAST_WORDS = 8
+#: Words of a window; a list of terms up to this many rows is broadcast, a longer one is shuffled.
+WINDOW, MOST_TERMS = 4, 200_000
 MARKUP = r"<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,8};"
 
 
@@ -32,31 +35,32 @@ def words(text: str) -> F.Column:
 
 
 class PositionalIndex:
-    """Postings of a corpus in the shared folder: term, doc, pos (sorted positions); and terms with their document counts."""
+    """Postings of a corpus in the shared folder: term, doc, pos, placed and sorted by term."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str, text: str, path: str | None = None) -> PositionalIndex:
-        """Index every document; null texts have no postings. One shuffle, by term and salt."""
+        """Index every word of every document; null texts have none. One shuffle, by term and salt."""
         spark = docs.sparkSession
         index = cls(spark, path or work_path(spark, "postings"))
         (
             docs.select(F.col(doc_id).cast("long").alias("doc"), words(text).alias("w"))
-            .select("doc", F.posexplode("w").alias("p", "term"))
-            .groupBy("term", F.pmod("doc", F.lit(SALTS)).alias("salt"), "doc")
-            .agg(F.array_sort(F.collect_list("p")).alias("pos"))
-            .sortWithinPartitions("term")
+            .select("doc", F.posexplode("w").alias("pos", "term"))
+            .repartition("term", F.pmod("doc", F.lit(SALTS)))
+            .sortWithinPartitions("term", "doc", "pos")
             .write.parquet(f"{index.path}/postings")
         )
         return index
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    def frequencies(self) -> DataFrame:
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """All postings, or those of some terms (column term)."""
+        got = self.spark.read.parquet(f"{self.path}/postings")
+        if terms is None:
+            return got
+        wanted = terms.select("term").distinct()
+        return got.join(F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted, "term", "left_semi")
 
 
 def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
@@ -66,47 +70,50 @@ def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
 
 
 def _anchors(g: pd.DataFrame) -> pd.DataFrame:
-    """The cheapest pairs of neighbouring words of which every stretch of half the item holds one."""
+    """The cheapest windows of WINDOW words of which every stretch of half the item holds one."""
     g = g.sort_values("q")
-    n, df = len(g), g["df"].fillna(0).to_numpy()
-    half = max(2, math.ceil(n / 2))
-    cost = [float(df[p] + df[p + 1]) for p in range(n - 1)]
-    best, back = [math.inf] * (n - 1), [-1] * (n - 1)
-    for p in range(n - 1):
-        if p <= half - 2:
+    n, df = len(g), g["uses"].fillna(0).to_numpy()
+    half, last = math.ceil(n / 2), n - WINDOW
+    cost = [float(df[p : p + WINDOW].sum()) for p in range(last + 1)]
+    best, back = [math.inf] * (last + 1), [-1] * (last + 1)
+    for p in range(last + 1):
+        if p <= half - WINDOW:
             best[p] = cost[p]
-        for b in range(max(0, p - half + 1), p):
+        for b in range(max(0, p - max(1, half - WINDOW + 1)), p):
             if best[b] + cost[p] < best[p]:
                 best[p], back[p] = best[b] + cost[p], b
-    p = min((p for p in range(n - 1) if p >= n - half), key=best.__getitem__)
-    chosen = set()
+    p = min(range(max(0, n - half), last + 1), key=best.__getitem__)
+    out = []
     while p >= 0:
-        chosen |= {p, p + 1}
+        out.append(g[(g["q"] >= p) & (g["q"] < p + WINDOW)].assign(win=p))
         p = back[p]
-    return g[g["q"].isin(chosen)][["item", "q", "term"]]
+    return pd.concat(out)[["item", "win", "q", "term"]]
 
 
 def matches(index: PositionalIndex, items: DataFrame, item_id: str, passage: str, gap: int = 2, share: float = 0.5) -> DataFrame:
-    """doc, item, words, of: documents that hold at least ``share`` of an item's words in one stretch.
+    """doc, item, words, of: documents that hold at least ``share`` (half or more) of an item's words in one stretch.
 
     ``gap`` 2 lets single words be replaced (proximity), 1 asks for the exact
     phrase. ``words`` is the length of the longest stretch, ``of`` that of the
     item. Documents and items without words have no rows.
     """
     terms = item_words(items, item_id, passage)
-    freq = index.frequencies().join(terms.select("term").distinct(), "term", "left_semi")
-    anchors = terms.join(freq, "term", "left").groupBy("item").applyInPandas(_anchors, "item long, q int, term string")
-    postings = index.postings().select("term", "doc", "pos")
-    cand = (
+    postings = stage(index.postings(terms), "asked")
+    uses = postings.groupBy("term").agg(F.count("*").alias("uses"))
+    anchors = terms.join(uses, "term", "left").groupBy("item").applyInPandas(_anchors, "item long, win int, q int, term string")
+    cand = stage(
         postings.join(anchors, "term")
-        .select("item", "doc", F.explode("pos").alias("p"), "q")
-        .select("item", "doc", (F.col("p") - F.col("q")).alias("off"))
-        .distinct()
+        .groupBy("item", "doc", (F.col("pos") - F.col("q")).alias("off"), "win")
+        .agg(F.count("*").alias("n"))
+        .filter("n >= 2")
+        .select("item", "doc", "off")
+        .distinct(),
+        "candidates",
     )
     hits = (
         cand.join(terms, "item")
-        .join(postings, ["term", "doc"])
-        .filter(F.expr("array_contains(pos, off + q)"))
+        .withColumn("pos", F.col("off") + F.col("q"))
+        .join(postings.join(cand.select("doc").distinct(), "doc", "left_semi"), ["term", "doc", "pos"])
         .select("item", "doc", "off", "n", "q")
     )
     w = Window.partitionBy("item", "doc", "off").orderBy("q")
