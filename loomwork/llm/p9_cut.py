@@ -14,17 +14,18 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..session import cut
+from ..session import stage
 
 #: Share of endings from which on words count as ones that end; occurrences that are evidence enough;
 #: share of whole uses from which on a beginning of longer words counts as a word; characters by which words are compared.
 ENDS, EVIDENCE, WHOLE, LONGEST = 0.02, 3, 0.1, 64
 
-#: Text to words; ¶ marks the end of a sentence or paragraph, § that of a block (fence, closing tag).
+#: Text to words, every number 0; ¶ marks the end of a sentence or paragraph, § that of a block (fence, closing tag).
 _WORDS = r"""
-SELECT id, source, odd, regexp_extract_all(body, r'https?://[^\s<>()"`\x27]*|[¶§]|\p{IsHan}|[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{N}_&&[^\p{IsHan}]]+', 0) AS w
+SELECT id, source, odd, regexp_extract_all(body, r'https?://[^\s<>()"`\x27]*|[¶§]|\p{IsHan}|[\p{L}\p{N}_&&[^\p{IsHan}]]+', 0) AS w,
+  regexp_extract(body, r'[^\p{L}\p{N}_]*$', 0) AS tail
 FROM (
-  SELECT id, source, odd, regexp_replace(regexp_replace(regexp_replace(low,
+  SELECT id, source, odd, regexp_replace(regexp_replace(regexp_replace(regexp_replace(low, '[0-9]+(?:[.,:][0-9]+)*', '0'),
       r'</(?:p|pre|code|li|ul|ol|div|h[1-6]|blockquote)>|```[a-z]*', ' § '),
       r'</?[a-z][^<>]{0,200}>', ' '),
       r'(?:[.?!…:])+(?=[\s"*)_`\x27¶§]|$)|[。！？…]+|[.?!]+(?=\p{IsHan})|\n\s*\n', ' ¶ ') AS body
@@ -33,24 +34,31 @@ FROM (
           regexp_count(text, '```') % 2 = 1 AS odd
         FROM {docs} WHERE text RLIKE r'\S'))"""
 
-#: One row per word: its two words before (after a mark, the mark alone), its class (links become shapes, numbers 0, names with underscores x_x), itself,
-#: and what follows (last: the text's final word; ends: a mark; closed: a block ends after the final word).
-_TRIGRAMS = rf"""
-SELECT id, source, odd, t.* FROM (
-  SELECT id, source, odd, w, transform(w, x -> CASE
-    WHEN x LIKE 'http%' THEN left(concat(regexp_extract(x, '^https?://', 0), regexp_replace(regexp_replace(substr(x, length(regexp_extract(x, '^https?://', 0)) + 1), '[0-9]+', '0'), '[a-z]+', 'u')), {LONGEST})
-    WHEN x RLIKE '^[0-9]' AND x RLIKE '^[0-9.,:]+$' THEN '0'
-    WHEN contains(x, '_') THEN 'x_x'
-    WHEN x RLIKE '[0-9]' THEN left(regexp_replace(x, '[0-9]+', '0'), {LONGEST})
-    ELSE left(x, {LONGEST}) END) AS k,
-    array_max(transform(sequence(0, size(w) - 1), i -> CASE WHEN w[i] NOT IN ('¶', '§') THEN i ELSE -1 END)) AS z
-  FROM {{words}} WHERE size(w) > 0)
-LATERAL VIEW inline(transform(filter(sequence(0, size(w) - 1), i -> w[i] NOT IN ('¶', '§')), i -> named_struct(
-  'a', CASE WHEN get(k, i - 1) IN ('¶', '§') THEN '¶' ELSE coalesce(replace(get(k, i - 2), '§', '¶'), '^') END,
-  'b', coalesce(replace(get(k, i - 1), '§', '¶'), '^'), 'c', k[i],
-  'raw', CASE WHEN k[i] = '0' OR w[i] LIKE 'http%' THEN k[i] ELSE left(w[i], {LONGEST}) END,
-  'last', i = z, 'ends', coalesce(get(w, i + 1) IN ('¶', '§'), false),
-  'closed', i = z AND array_contains(slice(w, i + 2, 1000), '§')))) t AS a, b, c, raw, last, ends, closed"""
+#: Words with their classes (links become shapes, names with underscores x_x), the place of the final word, and
+#: whether a block ends after it.
+_CLASSED = rf"""
+SELECT id, source, odd, w, size(w) - 1 - regexp_count(tail, '[¶§]') AS z, contains(tail, '§') AS closed, transform(w, x -> CASE
+    WHEN contains(x, '_') AND NOT contains(x, '/') THEN 'x_x'
+    WHEN NOT contains(x, '/') THEN left(x, {LONGEST})
+    ELSE left(concat(regexp_extract(x, '^https?://', 0), regexp_replace(substr(x, length(regexp_extract(x, '^https?://', 0)) + 1), '[a-z]+', 'u')), {LONGEST}) END) AS k
+FROM {{words}}"""
+
+#: What is said of a word at place pos: its two words before (after a mark, the mark alone), its class and itself.
+_SHOWN = f"""CASE WHEN b IN ('¶', '§') THEN '¶' ELSE replace(a, '§', '¶') END AS a, replace(b, '§', '¶') AS b, c,
+  CASE WHEN startswith(c, 'http') THEN c ELSE left(x, {LONGEST}) END AS raw, coalesce(next IN ('¶', '§'), false) AS ends"""
+
+#: One row per word: its trigram, and what follows (last: it is the text's final word; ends: a mark).
+_TRIGRAMS = f"""
+SELECT {_SHOWN}, pos = z AS last FROM (
+  SELECT z, t.* FROM {{classed}}
+  LATERAL VIEW inline(arrays_zip(concat(array('^', '^'), k), concat(array('^'), k), k, w, slice(k, 2, size(k)), sequence(0, size(k) - 1))) t AS a, b, c, x, next, pos)
+WHERE c IS NOT NULL AND c NOT IN ('¶', '§')"""
+
+#: The final trigram of each text.
+_FINALS = f"""
+SELECT id, source, odd, closed, {_SHOWN} FROM (
+  SELECT id, source, odd, closed, coalesce(get(k, z - 2), '^') AS a, coalesce(get(k, z - 1), '^') AS b, k[z] AS c, w[z] AS x, get(k, z + 1) AS next
+  FROM {{classed}} WHERE z >= 0)"""
 
 #: Per trigram and spelling: occurrences that go on, that end within a text, and that end a text.
 _COUNTS = """
@@ -79,7 +87,7 @@ SELECT t.id, t.source, t.a, t.b, t.raw, l3.goes_on, l3.ends, l3.finals, l3.longe
     CASE WHEN l1.uses = 0 AND l1.longer >= {EVIDENCE} AND l1.own <= {WHOLE} * l1.longer THEN true
          WHEN t.ends AND NOT CASE {_ends_rarely("l1")} ELSE false END THEN false -- a full stop follows a word that does end sentences
          {_ends_rarely("l3")} {_ends_rarely("l2")} {_ends_rarely("l1")} END, false) AS cut
-FROM (SELECT * FROM {{trigrams}} WHERE last) t
+FROM {{finals}} t
 LEFT JOIN {{l3}} l3 ON t.a = l3.a AND t.b = l3.b AND t.c = l3.c AND t.raw = l3.raw
 LEFT JOIN {{l2}} l2 ON t.b = l2.b AND t.c = l2.c AND t.raw = l2.raw
 LEFT JOIN {{l1}} l1 ON t.c = l1.c AND t.raw = l1.raw"""
@@ -101,10 +109,11 @@ def judged(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """
     spark = docs.sparkSession
     named = docs.selectExpr(f"cast(`{doc_id}` AS bigint) AS id", f"`{text}` AS text", f"`{source}` AS source")
-    trigrams = cut(_sql(spark, _TRIGRAMS, words=_sql(spark, _WORDS, docs=named)))
-    counts = cut(_sql(spark, _COUNTS, trigrams=trigrams))
+    words = _sql(spark, _WORDS, docs=named)
+    classed = stage(_sql(spark, _CLASSED, words=words), "words")
+    counts = stage(_sql(spark, _COUNTS, trigrams=_sql(spark, _TRIGRAMS, classed=classed)), "trigrams")
     level = lambda key: _sql(spark, _LEVEL.replace("{key}", key), counts=counts)
-    return _sql(spark, _VERDICT, trigrams=trigrams, l3=level("a, b, "), l2=level("b, "), l1=level(""))
+    return _sql(spark, _VERDICT, finals=_sql(spark, _FINALS, classed=classed), l3=level("a, b, "), l2=level("b, "), l1=level(""))
 
 
 def rates(judged_docs: DataFrame) -> DataFrame:
