@@ -71,7 +71,8 @@ function <- function_name '(' ('distinct' / 'all')? arguments? ')' ('within' 'gr
 arguments <- '*' / argument (',' argument)* ('order' 'by' sort_item (',' sort_item)*)?
 %argument <- query / ('both' / 'leading' / 'trailing')? expr ('from' expr ('for' expr)?)? ('as' (ident / type))? / ('both' / 'leading' / 'trailing') 'from' expr
 window <- ident / '(' window_spec ')'
-%window_spec <- ident? ('partition' 'by' exprs)? ('distribute' 'by' exprs)? (('order' / 'sort') 'by' sort_item (',' sort_item)*)? frame?
+%window_word <- 'partition' / 'distribute' / 'sort' / 'rows' / 'range' / 'groups'
+%window_spec <- (!window_word ident)? ('partition' 'by' exprs)? ('distribute' 'by' exprs)? (('order' / 'sort') 'by' sort_item (',' sort_item)*)? frame?
 %frame <- ('rows' / 'range' / 'groups') ('between' bound 'and' bound / bound)
 %bound <- 'unbounded' ('preceding' / 'following') / 'current' 'row' / expr ('preceding' / 'following')
 %column <- qname
