@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import DEPRECATED, FRAME_METHODS, RDD_METHODS
+from ..session import stage
 
 #: Calls that carry a task's command, and how deep names are followed (fixed values).
 COMMAND_ARGS, DEEPEST = ("command", "bash_command", "python_callable", "application"), 10
@@ -205,13 +206,19 @@ def operator_kind(operator: str) -> F.Column:
     return out.otherwise("other")
 
 
-def closure(df: DataFrame, upstream: str = "upstream", downstream: str = "downstream", by: str = "dag_path") -> DataFrame:
-    """All (by, upstream, downstream) linked directly or through others, within each ``by``; loops end."""
-    spark = df.sparkSession
-    view = f"edges_{abs(hash(id(df)))}"
-    df.select(F.col(by).alias("g"), F.col(upstream).alias("a"), F.col(downstream).alias("b")).distinct().createOrReplaceTempView(view)
-    return spark.sql(f"""
-WITH RECURSIVE r (g, a, b, path) AS (
-  SELECT g, a, b, array(a, b) FROM {view} UNION ALL
-  SELECT r.g, r.a, e.b, array_append(r.path, e.b) FROM r JOIN {view} e ON r.g = e.g AND r.b = e.a WHERE NOT array_contains(slice(r.path, 2, 1000000), e.b))
-SELECT DISTINCT g AS {by}, a AS {upstream}, b AS {downstream} FROM r""")
+def closure(df: DataFrame, upstream: str = "upstream", downstream: str = "downstream", by: str = "dag_path", most_rounds: int = 64) -> DataFrame:
+    """All (by, upstream, downstream) linked directly or through others, within each ``by``.
+
+    Each round joins the links found last with the direct ones and keeps the new
+    pairs, so loops end and no path is followed twice. Rows with nulls take no
+    part. Raises if links are chained further than ``most_rounds``.
+    """
+    direct = stage(df.select(F.col(by).alias("g"), F.col(upstream).alias("a"), F.col(downstream).alias("b")).dropna().distinct(), "links")
+    known = last = direct
+    for _ in range(most_rounds):
+        step = last.join(direct.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"]).select("g", "a", F.col("c").alias("b"))
+        last = stage(step.distinct().join(known, ["g", "a", "b"], "left_anti"), "links")
+        if last.isEmpty():
+            return known.select(F.col("g").alias(by), F.col("a").alias(upstream), F.col("b").alias(downstream))
+        known = known.union(last)
+    raise RuntimeError(f"links are chained further than {most_rounds} rounds")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def fill_empty(df: DataFrame) -> DataFrame:
     """Rows that hold something, as text, with nulls as empty text."""
@@ -42,10 +44,11 @@ def row_ids(df: DataFrame, order: str, start: int = 1) -> DataFrame:
     """``df`` with consecutive ids by ``order`` from ``start``.
 
     Range-partitioned: ranks within partitions plus the rows of the partitions
-    before, whose counts (one per partition) are all that is gathered.
+    before, whose counts (one per partition) are all that is gathered. Staged
+    in between, so that a lost partition cannot come back with other ranges.
     """
     parts = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    ranked = stage(parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order))), "ranked")
     counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranked.join(F.broadcast(before), "_p").withColumn("id", F.col("_r") + F.col("_b") + (start - 1)).drop("_p", "_r", "_b")

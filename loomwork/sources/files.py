@@ -17,7 +17,7 @@ EXTENSIONS = (".py", ".sh", ".sql", ".hql")
 def extensions_of(patterns: Iterable[str]) -> list[str]:
     """Extensions that globs such as ``*.py`` name; the default ones if none do."""
     found = [p[p.rindex(".") :] for p in patterns if "." in p and not p.endswith(".*")]
-    return sorted(set(found)) or list(EXTENSIONS)
+    return sorted(set(found) or EXTENSIONS)
 
 
 def binary_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
