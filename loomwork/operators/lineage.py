@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import may_match
 from ..functions.rules import NAME_PART, SQL_WORDS, STATEMENTS
 
 VARIABLE = r"\$\{[A-Za-z_]\w*\}|\$[A-Za-z_]\w*|\{[A-Za-z_]\w*\}"
@@ -71,15 +72,21 @@ def tables(df: DataFrame, key: str, sql: str, require_schema: bool = True) -> Da
     text are left out.
     """
     more = rf"(?:\.{NAME_PART})" + ("" if require_schema else "?")
-    text = without_comments(F.col(sql))
+    text, none = F.col("_t"), F.array().cast("array<string>")
     hits = [
-        F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?dUi){before}({NAME_PART}{more})"), F.lit(1))), _named(kind))
+        F.transform(
+            F.when(may_match(F.col("_low"), before), F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?dUi){before}({NAME_PART}{more})"), F.lit(1)))).otherwise(none),
+            _named(kind),
+        )
         for kind, before in STATEMENTS
     ]
     last = F.element_at(F.split("table_name", r"\."), -1)
     names = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)(\w+)\s+AS\s*\("), F.lit(1)), lambda c: F.lower(c))
     return (
-        df.select(F.col(key), names.alias("_ctes"), F.inline(F.flatten(F.array(*hits))))
+        df.filter(F.col(sql).isNotNull())
+        .select(F.col(key), without_comments(F.col(sql)).alias("_t"))
+        .withColumn("_low", F.lower("_t"))
+        .select(key, names.alias("_ctes"), F.inline(F.flatten(F.array(*hits))))
         .filter(is_variable(F.col("table_name")) | (last.rlike(r"^[A-Za-z_]\w*$") & ~F.upper(last).isin(SQL_WORDS)))
         .filter(~F.array_contains("_ctes", F.lower("table_name")))
         .select(key, "stmt_type", "table_name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DIALECTS, ENGINE_RULES, FLOW_WEIGHTS, MODULE_MOVES, NAME_PART, PROVIDERS, SPARK_CHECKS, SQL_INSIDE, SQL_STARTS, SQL_WORDS, STATEMENTS
 from ..operators import classify, extract, facts, lineage, rewrite, validate
-from ..session import table
+from ..session import spread, table
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
@@ -18,20 +18,24 @@ def _sql(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_sql")
 
 
+def _wide(spark: SparkSession, d: str, name: str, columns: str) -> DataFrame:
+    return spread(table(spark, d, name).select(*columns.split(", ")))
+
+
 def classify_scores(spark: SparkSession, d: str) -> DataFrame:
-    return classify.scores(_code(spark, d), "file_id", "raw_code").select("file_id", "family", "score")
+    return classify.scores(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_id", "raw_code").select("file_id", "family", "score")
 
 
 def classify_best(spark: SparkSession, d: str) -> DataFrame:
-    return classify.best(_code(spark, d), "file_id", "raw_code")
+    return classify.best(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_id", "raw_code")
 
 
 def classify_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return classify.scores(_code(spark, d), "file_id", "raw_code", [r for r in ENGINE_RULES if r[0] == "spark"], evidence=True).select("file_id", "evidence")
+    return classify.scores(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_id", "raw_code", [r for r in ENGINE_RULES if r[0] == "spark"], evidence=True).select("file_id", "evidence")
 
 
 def extracted_statements(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(_code(spark, d), "file_path", "raw_code")
+    return extract.extract(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_path", "raw_code")
 
 
 def extract_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +54,7 @@ def statements_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.tables(_sql(spark, d), "sql_id", "sql")
+    return lineage.tables(_wide(spark, d, "extracted_sql", "sql_id, sql"), "sql_id", "sql")
 
 
 def lineage_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +83,7 @@ def cte_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_issues(spark: SparkSession, d: str) -> DataFrame:
-    return validate.issues(_code(spark, d).filter("file_path like '%.py'"), "file_id", "raw_code")
+    return validate.issues(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_id", "raw_code")
 
 
 def spark_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -99,18 +103,18 @@ def issue_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rewrites(spark: SparkSession, d: str) -> DataFrame:
-    got = rewrite.fold(_code(spark, d).filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
+    got = rewrite.fold(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
     return got.select("file_id", "rewritten", F.transform("changes", lambda c: c["rule"]).alias("changes"), F.transform("warnings", lambda c: c["rule"]).alias("warnings"))
 
 
 def rewrite_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the two method renames over all Python files."""
-    got = rewrite.fold(_code(spark, d).filter("file_path like '%.py'").select("file_id", "raw_code"), "raw_code")
+    got = rewrite.fold(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'").select("file_id", "raw_code"), "raw_code")
     return got.select(F.inline("changes")).filter("rule in ('register_temp_table', 'union_all_deprecated')").groupBy("rule").agg(F.sum("hits").alias("hits"))
 
 
 def flow_rewrites(spark: SparkSession, d: str) -> DataFrame:
-    got = rewrite.upgrade_flows(_code(spark, d).filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
+    got = rewrite.upgrade_flows(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
     return got.select("file_id", F.md5("rewritten").alias("digest"), (F.col("rewritten") != F.col("raw_code")).alias("changed"))
 
 
@@ -122,11 +126,11 @@ def module_moves(spark: SparkSession, d: str) -> DataFrame:
 
 def import_facts(spark: SparkSession, d: str) -> DataFrame:
     """Imported modules of files that parse, against the delivered imports column."""
-    return facts.facts(_code(spark, d).filter("file_path like '%.py'"), "file_id", "raw_code").filter("kind = 'import'").groupBy("name").agg(F.count("*").alias("uses"))
+    return facts.facts(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_id", "raw_code").filter("kind = 'import'").groupBy("name").agg(F.count("*").alias("uses"))
 
 
 def code_facts(spark: SparkSession, d: str) -> DataFrame:
-    return facts.facts(_code(spark, d).filter("file_path like '%.py'"), "file_id", "raw_code")
+    return facts.facts(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_id", "raw_code")
 
 
 def deprecated_uses(spark: SparkSession, d: str) -> DataFrame:
@@ -134,11 +138,11 @@ def deprecated_uses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return facts.tasks(_code(spark, d).filter("file_path like '%.py'"), "file_path", "raw_code")
+    return facts.tasks(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_path", "raw_code")
 
 
 def flow_edges(spark: SparkSession, d: str) -> DataFrame:
-    return facts.edges(_code(spark, d).filter("file_path like '%.py'"), "file_path", "raw_code")
+    return facts.edges(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_path", "raw_code")
 
 
 def table_reach(spark: SparkSession, d: str) -> DataFrame:
