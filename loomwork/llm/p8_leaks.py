@@ -7,7 +7,8 @@ chosen so that every stretch of half the item holds one whole window. As only
 single words may be replaced, two words of the window then stand in any
 matching document at the same offset. The candidates (document, item, offset)
 that have two such words are verified on the posting lists of all the item's
-terms.
+terms. Items of up to six words have windows of half their words; of one or two
+words, a single one must stand there.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from ..session import stage, work_path
 
 #: Terms are spread over this many salts by document, so that no term is one task's.
 SALTS = 16
-#: Items of fewer words have no stretch that tells them from chance; they take no part.
-LEAST_WORDS = 8
-#: Words of a window; a list of terms up to this many rows is broadcast, a longer one is shuffled.
+#: Only items without words take no part.
+LEAST_WORDS = 1
+#: Words of a window at most; a list of terms up to this many rows is broadcast, a longer one is shuffled.
 WINDOW, MOST_TERMS = 4, 200_000
 MARKUP = r"<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,8};"
 
@@ -70,24 +71,31 @@ def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
 
 
 def _anchors(g: pd.DataFrame) -> pd.DataFrame:
-    """The cheapest windows of WINDOW words of which every stretch of half the item holds one."""
+    """The cheapest windows of which every stretch of half the item holds one, and the words of them that a match has at least.
+
+    Of four words two are there, as no two neighbours are replaced. A window of
+    three is half an item: all windows are taken, and the one in which a match
+    begins has its first word and one of the next two. In one or two words it is one.
+    """
     g = g.sort_values("q")
     n, df = len(g), g["uses"].fillna(0).to_numpy()
-    half, last = math.ceil(n / 2), n - WINDOW
-    cost = [float(df[p : p + WINDOW].sum()) for p in range(last + 1)]
+    half = math.ceil(n / 2)
+    size = min(WINDOW, half)
+    last = n - size
+    cost = [float(df[p : p + size].sum()) for p in range(last + 1)]
     best, back = [math.inf] * (last + 1), [-1] * (last + 1)
     for p in range(last + 1):
-        if p <= half - WINDOW:
+        if p <= half - size:
             best[p] = cost[p]
-        for b in range(max(0, p - max(1, half - WINDOW + 1)), p):
+        for b in range(max(0, p - max(1, half - size + 1)), p):
             if best[b] + cost[p] < best[p]:
                 best[p], back[p] = best[b] + cost[p], b
     p = min(range(max(0, n - half), last + 1), key=best.__getitem__)
     out = []
     while p >= 0:
-        out.append(g[(g["q"] >= p) & (g["q"] < p + WINDOW)].assign(win=p))
+        out.append(g[(g["q"] >= p) & (g["q"] < p + size)].assign(win=p, need=2 if size > 2 else 1))
         p = back[p]
-    return pd.concat(out)[["item", "win", "q", "term"]]
+    return pd.concat(out)[["item", "win", "need", "q", "term"]]
 
 
 def matches(index: PositionalIndex, items: DataFrame, item_id: str, passage: str, gap: int = 2, share: float = 0.5) -> DataFrame:
@@ -100,12 +108,12 @@ def matches(index: PositionalIndex, items: DataFrame, item_id: str, passage: str
     terms = item_words(items, item_id, passage)
     postings = stage(index.postings(terms), "asked")
     uses = postings.groupBy("term").agg(F.count("*").alias("uses"))
-    anchors = terms.join(uses, "term", "left").groupBy("item").applyInPandas(_anchors, "item long, win int, q int, term string")
+    anchors = terms.join(uses, "term", "left").groupBy("item").applyInPandas(_anchors, "item long, win int, need int, q int, term string")
     cand = stage(
         postings.join(anchors, "term")
         .groupBy("item", "doc", (F.col("pos") - F.col("q")).alias("off"), "win")
-        .agg(F.count("*").alias("n"))
-        .filter("n >= 2")
+        .agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        .filter("n >= need")
         .select("item", "doc", "off")
         .distinct(),
         "candidates",

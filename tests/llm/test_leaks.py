@@ -70,3 +70,19 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, " ".join(V[:20]))], "d long, t string")
     assert L.matches(L.PositionalIndex.build(one, "d", "t"), items.limit(0), "i", "p").count() == 0
     assert [(r.words, r.of) for r in L.matches(L.PositionalIndex.build(one, "d", "t"), items, "i", "p").collect()] == [(20, 20)]
+
+
+def test_items_of_any_length(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = [(i, " ".join(rnd.choice(V[:40]) for _ in range(1 + i % 14))) for i in range(42)]
+    docs = [(d, " ".join(rnd.choice(V[:50]) for _ in range(rnd.randint(0, 30)))) for d in range(60)]
+    for i, p in items:  # whole, and with every second word replaced
+        docs += [(100 + i, f"zzz {p} zzz"), (200 + i, " ".join("zzz" if k % 2 else x for k, x in enumerate(p.split())))]
+    with monkeypatch.context() as m:
+        m.setattr(L, "LEAST_WORDS", 0)
+        want = {gap: brute(docs, items, gap) for gap in (2, 1)}
+    index = L.PositionalIndex.build(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    for gap in (2, 1):
+        got = L.matches(index, spark.createDataFrame(items, "item_id long, passage string"), "item_id", "passage", gap).collect()
+        assert {(r.doc, r.item) for r in got} == want[gap]
+        assert {i for d, i in want[gap] if d == 100 + i} == set(range(42))
