@@ -297,14 +297,39 @@ def _lines_with(text: str, what: re.Pattern) -> Iterator[tuple[int, int]]:
         yield lo, hi
 
 
+#: What opens or closes a round or square bracket, past quoted values; a line that leads into the next; a line of no more than a literal.
+BRACKETS = re.compile(r"""\"[^"\\\n]*(?:\\.[^"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|[(\[]|[)\]]""")
+LEADS = re.compile(r"(?i)(?:\b(?:identified|by|encrypted|password|secret|token|credentials|api_key|\w*access_key|secret_key|authorization|bearer|basic)|--[\w\-]+|[=+\\:(])['\"]?[ \t\r]*$")
+PIECE = re.compile(r"""[ \t]*(?:[+=][ \t]*)?[bru]?(?:"[^"\n]*"|'[^'\n]*')[ \t]*\+?[ \t]*\\?[ \t]*[);]*[ \t\r]*$""", re.M)
+
+
+def _grown(text: str, lo: int, hi: int) -> int:
+    """End of the expression or SQL value that begins on the line at ``lo``; ``hi`` at least. Both are ends of lines."""
+    depth, at = 0, lo
+    while True:
+        for m in BRACKETS.finditer(text, at, hi):
+            if m[0] in "([":
+                depth += 1
+            elif m[0] in ")]":
+                depth = max(0, depth - 1)
+        last = text[text.rfind("\n", 0, hi) + 1 : hi]
+        if hi >= len(text) or depth == 0 and last.strip() and not LEADS.search(last) and not PIECE.match(text, hi + 1):
+            return hi
+        at, hi = hi, text.find("\n", hi + 1)
+        hi = len(text) if hi < 0 else hi
+
+
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of whole lines in which rules can find something: lines with a cue, and the line after them."""
+    """Stretches of whole lines in which rules can find something: lines with a cue, and the line after them.
+
+    They go on over open brackets, literals in pieces, and values that stand lines below their names.
+    """
     low = text.lower()
     if len(low) != len(text):  # some capital letters have longer small ones
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     out: list[list[int]] = []
     for end, cue in _automaton().iter(low):
-        if out and end < out[-1][1] and not (cue == "://" and out[-1][2] <= end):
+        if out and (end < out[-1][2] or out[-1][0] == 0 and out[-1][1] >= len(text)):
             continue
         lo = text.rfind("\n", 0, end) + 1
         stop = text.find("\n", end)
@@ -319,6 +344,8 @@ def _windows(text: str) -> list[tuple[int, int]]:
         if opened >= 0 and text.rfind("*/", opened, end) < 0:  # in a block comment: all of it
             close = text.find("*/", end)
             lo, nxt = min(lo, text.rfind("\n", 0, opened) + 1), max(nxt, len(text) if close < 0 else close + 2)
+        elif not out or out[-1][1] < len(text):
+            nxt = _grown(text, lo, nxt)
         if out and lo <= out[-1][1]:
             out[-1][0], out[-1][1], out[-1][2] = min(lo, out[-1][0]), max(nxt, out[-1][1]), stop
         else:

@@ -77,6 +77,23 @@ def test_line_of_a_key_and_of_joined_literals():
     ast.parse(S.mask(text))
 
 
+@pytest.mark.parametrize(
+    ("text", "line", "parts"),
+    [
+        ("password = (\n    'Harbor@44'\n    '17dusty'\n)\n", 2, ["Harbor", "dusty"]),
+        ("CREATE USER auth_svc\nIDENTIFIED BY\n'Harbor@4417dusty';\n", 3, ["Harbor"]),
+        ("ALTER USER auth_svc\nIDENTIFIED\n\nBY\n\n'Harbor@4417dusty';\n", 6, ["Harbor"]),
+        ("api_key = (\n\n  'hzlIGp8DDKzr'\n  'EgzNRB8G7c'\n  'X6ZHatGqq1'\n  'Zk3kkD8s'\n)\n", 3, ["hzlI", "EgzN", "X6ZH", "Zk3k"]),
+        ("api_key = 'hzlIGp8DDKzr' + \\\n  'EgzNRB8G7c' + \\\n  'X6ZHatGqq1' + \\\n  'Zk3kkD8s'\nx = 1\n", 1, ["hzlI", "EgzN", "X6ZH", "Zk3k"]),
+        ("token = get(a)\nlogin = 1\npassword = 'Harbor@4417dusty'\n", 3, ["Harbor"]),
+    ],
+)
+def test_values_over_many_lines(text, line, parts):
+    assert [text.count("\n", 0, f.start) + 1 for f in S.scan(text)] == [line]
+    masked = S.mask(text)
+    assert not any(p in masked for p in parts) and masked.count("\n") == text.count("\n") and S.mask(masked) == masked
+
+
 @pytest.mark.parametrize("layers", [1, 2, 4])
 def test_encoded_layers(layers):
     inner = f'password = "{PW}"'
