@@ -114,6 +114,14 @@ JOINED = re.compile(
 ALIAS = re.compile(r"(?m)^[ \t]*(?P<name>[\w.]+)[ \t]*=[ \t]*(?P<src>[A-Za-z_]\w*)[ \t]*(?:#.*)?\r?$")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_\-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_\-]{16,}={0,2})(?![A-Za-z0-9+/=])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){10,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){10,}(?![0-9A-Za-z])")
+#: What parts the lines or pieces of one encoded literal: line ends (also written as \\n), indentation, quotes, plus signs, backslashes.
+GAP = r"""(?x:
+      (?:(?:\\r)?\\n)? \\?["'] [ \t]* \+? [ \t]* (?: \\? [ \t]* \r?\n \s* (?:\+[ \t]*)? )? [bBrRuU]{0,2} \\?["']
+    | [ \t]* \\? [ \t]* \r?\n \s*
+    | (?:\\r)?\\n [ \t]* (?: \\? \r?\n \s* )?
+    )"""
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_\-]{{16,}}(?:{GAP}[A-Za-z0-9+/_\-]+)+={{0,2}}")
+GAPS = re.compile(GAP)
 PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+\-]*%[0-9A-Fa-f]{2}){3,}[A-Za-z0-9_.~+\-]*")
 ESCAPED = re.compile(r"(?:[^\s\"'\\]*\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})){3,}[^\s\"'\\]*")
 
@@ -253,10 +261,31 @@ def _unbase64(s: str) -> bytes | None:
         return None
 
 
+def _unwrapped(text: str, s: int, e: int) -> Iterator[tuple[int, int, bytes]]:
+    """Like layers, of the literal in pieces at ``s`` to ``e``.
+
+    A word may follow that is no part of it (the end of a here-document): the
+    last piece is left out too, and what comes after the first that is not as
+    long as the others.
+    """
+    pieces, at = [], s
+    for g in [*GAPS.finditer(text, s, e), None]:
+        end = g.start() if g else e
+        pieces.append((text[at:end], end))
+        at = g.end() if g else e
+    width = len(pieces[0][0])
+    even = next((i for i, (p, _) in enumerate(pieces) if len(p) != width), len(pieces))
+    for k in sorted({len(pieces), len(pieces) - 1, min(even + 1, len(pieces)), even}, reverse=True):
+        lit = "".join(p for p, _ in pieces[:k])
+        b = bytes.fromhex(lit) if k > 1 and HEX.fullmatch(lit) else _unbase64(lit) if k > 1 else None
+        if b is not None:
+            yield s, pieces[k - 1][1], b
+
+
 def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, decoded bytes) of every literal that is an encoding of something else."""
     raw = text.encode("utf-8", "replace")
-    runs, at = raw.translate(_RUN), 0
+    runs, at, wrapped = raw.translate(_RUN), 0, 0
     if b"a" * 16 in runs:
         flat = len(raw) == len(text)
         while (i := runs.find(b"a" * 16, at)) >= 0:
@@ -268,6 +297,9 @@ def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
             while e < len(text) and (text[e] in "_-+/=" or text[e].isascii() and text[e].isalnum()):
                 e += 1
             lit = text[s:e]
+            if s >= wrapped and (m := WRAPPED.match(text, s)):
+                wrapped = m.end()
+                yield from _unwrapped(text, s, wrapped)
             if HEX.fullmatch(lit):
                 yield s, e, bytes.fromhex(lit)
             else:
@@ -628,6 +660,8 @@ def mask(text: str | None) -> str | None:
             span = span.replace("PRIVATE KEY", "MASKED KEY")
         elif f.kind == "joined literal":
             span = re.sub(r"(\"\s*\+?\s*\\?\s*\"|'\s*\+?\s*\\?\s*')|(.)", lambda m: m[1] or "*", span, flags=re.S)
+        elif f.layers and GAPS.search(span):
+            span = re.sub(rf"({GAP})|.", lambda m: m[1] or "*", span, flags=re.S)
         else:
             span = "*" * min(len(span), 8) if len(span) < 8 else "********"
         out += [text[at : f.start], span]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import ast
 import base64
 import json
+import re
 
 import pytest
 from loomwork.llm import p1_secrets as S
@@ -123,6 +124,35 @@ def test_key_containers():
     assert S.scan(f'BLOB = "{base64.b64encode(pkcs1).decode()}"')[0].kind == "pkcs1 container"
 
 
+def _wrapped_texts():
+    pkcs1 = _der(0x30, _der(2, b"\0") + _der(2, b"\x01\x7f\x33" * 21) * 8)
+    pkcs8 = _der(0x30, _der(2, b"\0") + _der(0x30, b"") + _der(4, pkcs1))
+    jks = b"\xfe\xed\xfe\xed" + (2).to_bytes(4, "big") + bytes(range(120))
+    ssh = b"openssh-key-v1\x00" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"k" * 90))
+    settings = f"# settings of the nightly load, one to a line\nhost = a.example\npassword = \"{PW}\"\nport = 5432\n".encode()
+    for what in (pkcs1, pkcs8, jks, ssh, settings, settings + b"#" * (48 - len(settings) % 48)):
+        for width in (64, 76):
+            b64 = base64.b64encode(what).decode()
+            lines = [b64[i : i + width] for i in range(0, len(b64), width)]
+            yield "base64 -d > k <<EOF\n" + "\n".join(lines) + "\nEOF\n", lines
+            yield 'x = 1\nBLOB = """' + "\n    ".join(lines) + '"""\nrest = 1\n', lines
+            yield "BLOB = (\n" + "\n".join(f"    '{x}'" for x in lines) + "\n)\nrest = 1\n", lines
+            yield "BLOB = " + " + \\\n    ".join(f'"{x}"' for x in lines) + "\nrest = 1\n", lines
+            yield json.dumps({"blob": "\n".join(lines)}), lines
+    lines = [settings.hex()[i : i + 60] for i in range(0, 2 * len(settings), 60)]
+    yield "xxd -r -p <<EOF\n" + "\n".join(lines) + "\nEOF\n", lines
+
+
+@pytest.mark.parametrize(("text", "lines"), _wrapped_texts())
+def test_wrapped_encodings(text, lines):
+    found, masked = S.scan(text), S.mask(text)
+    assert [(f.start, f.layers) for f in found] == [(text.index(lines[0]), 1)]
+    assert not any(x in masked for x in lines) and masked.count("\n") == text.count("\n") and S.mask(masked) == masked
+    assert masked.translate({ord("*"): None}) == re.sub("|".join(map(re.escape, sorted(set(lines), key=len, reverse=True))), "", text)
+    plain = base64.b64encode(b"nothing to see here, only words in a long and plain text " * 4).decode()
+    assert S.scan("\n".join(plain[i : i + 64] for i in range(0, len(plain), 64))) == []
+
+
 def test_masked_json_stays_json():
     doc = json.dumps({"connection": {"user": "x", "password": PW}, "script": f"beeline -n a -p {'kcvkd2MorOiV'} -e \"x\"\n"}, indent=1)
     back = json.loads(S.mask(doc))
