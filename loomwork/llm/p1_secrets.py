@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import functools
 import math
 import re
@@ -388,16 +389,35 @@ def _windows(text: str) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- rules
 
 
+SECTION = re.compile(r"(?m)^[^\S\n]*\[[\w .:\-]+\][^\S\n]*$")
+
+
+@functools.lru_cache(maxsize=1)
+def _settings(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the blocks of bare settings; the first line that is no setting begins at the end."""
+    starts, ends = [], []
+    for m in SECTION.finditer(text):
+        if ends and m.start() < ends[-1]:
+            continue
+        at = m.end()
+        while at < len(text):
+            stop = text.find("\n", at + 1)
+            stop = len(text) if stop < 0 else stop
+            line = text[at + 1 : stop].strip()
+            if line and not re.match(r"[\w.\-]+\s*[=:]", line) and not line.startswith(("#", ";")) and not SECTION.fullmatch(line):
+                break
+            at = stop
+        starts.append(m.end() + 1)
+        ends.append(at + 1)
+    return starts, ends
+
+
 def _ini(text: str, at: int) -> bool:
     """Whether the line at ``at`` lies in a block of bare settings: a [section] and only key lines above it."""
     start = text.rfind("\n", 0, at) + 1
-    for line in reversed(text[max(0, start - 600) : start].split("\n")[:-1]):
-        line = line.strip()
-        if re.fullmatch(r"\[[\w .:\-]+\]", line):
-            return True
-        if line and not re.match(r"[\w.\-]+\s*[=:]", line) and not line.startswith(("#", ";")):
-            return False
-    return False
+    starts, ends = _settings(text)
+    k = bisect.bisect_right(starts, start) - 1
+    return k >= 0 and start <= ends[k]
 
 
 def _bare_literal(v: str, ini: bool) -> str | None:

@@ -159,6 +159,16 @@ def test_masked_json_stays_json():
     assert back["connection"]["user"] == "x" and PW not in str(back) and "kcvkd2MorOiV" not in str(back)
 
 
+def test_long_blocks_of_settings():
+    keys = "".join(f"setting_{i} = value of setting {i}\n\n; remark (a)\n" for i in range(60))
+    for text in (f"[db]\n{keys}password = meadow\n", f"x()\n  [a]\n{keys}[b]\n{keys}password = meadow[lake]", f"[db]\r\n{keys}password = meadow\r\n"):
+        assert [text.count("\n", 0, f.start) + 1 for f in S.scan(text)] == [text.count("\n", 0, text.index("password")) + 1]
+        assert "meadow" not in S.mask(text)
+    for text in (f"[db]\n{keys}end()\npassword = meadow\n", f"{keys}password = meadow\n", "[db]\nend()\nx = 1\npassword = meadow\n"):
+        assert S.scan(text) == []
+    assert len(S.scan("[db]\n" + "password = meadow-lake\n" * 5_000)) == 5_000
+
+
 def test_very_long_text_is_scanned_whole():
     assert len(S.scan("x = 1\n" * 200_000 + f'password = "{PW}"')) == 1
     assert S.scan("a" * 300_000) == []
