@@ -447,9 +447,9 @@ def _rules(text: str) -> Iterator[tuple[int, int, str]]:
         after = KEY_OPEN.search(text, m.end())
         if close and not (after and after.start() < close.start()):
             at = close.end()
-        else:  # cut off: to the end of what can be its body
+        else:  # cut off: to the end of what can be its body, or to the next key
             body = re.compile(r"(?:\\n|[\s\"'+\\]|[A-Za-z0-9+/=:, \-])*").match(text, m.end())
-            at = min(body.end() if body else m.end(), m.end() + 8000)
+            at = min(body.end(), after.start() if after else len(text))
         if at - m.end() > 40:
             yield m.start(), at, "private key"
     for lo, hi in _windows(text):

@@ -78,6 +78,12 @@ def test_line_of_a_key_and_of_joined_literals():
     ast.parse(S.mask(text))
 
 
+def test_long_key_without_closing_marker():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + ("A1b2" * 16 + "\n") * 200
+    assert "A1b2" not in S.mask(f"{text};\n") and S.mask(f"{text};\n").count("\n") == 202
+    assert [f.start for f in S.scan(text + text)] == [0, len(text)] and "A1b2" not in S.mask(text + text)
+
+
 @pytest.mark.parametrize(
     ("text", "line", "parts"),
     [
