@@ -62,6 +62,49 @@ def _closed(text: str, at: int, open_: str, close: str) -> int:
     raise LexError(start, f"'{open_}' never closed", True)
 
 
+def _bodies(text: str, at: int, end: int) -> None:
+    """Parse the commands of every $(...), `...`, <(...) and >(...) between ``at`` and ``end``; those in them are parsed with them."""
+    quoted = False
+    while at < end:
+        c = text[at]
+        if c == "\\":
+            at += 2
+        elif c == "'" and not quoted:
+            at = _single(text, at)
+        elif c == '"':
+            quoted, at = not quoted, at + 1
+        elif c == "`":
+            stop = _back(text, at)
+            _parse(re.sub(r'\\([`\\$"])' if quoted else r"\\([`\\$])", r"\1", text[at + 1 : stop - 1]), at + 1)
+            at = stop
+        elif text.startswith("$(", at) or c in "<>" and not quoted and text.startswith("(", at + 1):
+            stop = _closed(text, at + 2, "(", ")")
+            if text.startswith("$((", at) and text[stop - 2 : stop] == "))":
+                at += 3  # arithmetic: only the commands in it
+            else:
+                _parse(text[at + 2 : stop - 1], at + 2)
+                at = stop
+        else:
+            at += 1
+
+
+def _parse(body: str, at: int) -> None:
+    """The commands of a substitution that begins at ``at``; LexError if they are not valid."""
+    try:
+        toks = tokens(body)
+    except LexError as e:
+        raise LexError(at + min(e.at, len(body)), e.why) from None
+    if not GRAMMAR.accepts(toks):
+        raise LexError(at + min(toks[GRAMMAR.furthest(toks)[0]].at, len(body)), "bad command in a substitution")
+
+
+def _array(text: str, at: int, end: int) -> None:
+    """The items of an array are words."""
+    for t in tokens(text[at:end]):
+        if t.kind not in ("WORD", "ASSIGN", "NEWLINE", "EOF"):
+            raise LexError(at + t.at, "bad item of an array")
+
+
 def _single(text: str, at: int) -> int:
     end = text.find("'", at + 1)
     if end < 0:
@@ -132,13 +175,16 @@ def tokens(text: str) -> list[Token]:
             out.append(Token("OP", m[0], at))
             at = m.end()
         else:
-            start, plain = at, True
+            start = checked = at
+            plain = True
             while at < n:
                 c = text[at]
                 if m := _PLAIN.match(text, at):
                     at = m.end()
                     if text[at - 1] == "=" and text.startswith("(", at) and _ASSIGN.fullmatch(text, start, at):
-                        at, plain = _closed(text, at + 1, "(", ")"), False
+                        open_, at, plain = at + 1, _closed(text, at + 1, "(", ")"), False
+                        _array(text, open_, at - 1)
+                        checked = at
                     continue
                 plain = plain and c not in "'\"\\$`"
                 if c == "'":
@@ -161,11 +207,13 @@ def tokens(text: str) -> list[Token]:
                 elif c == "$":
                     at += 1
                 elif c in "<>" and text.startswith("(", at + 1):
-                    at = _closed(text, at + 2, "(", ")")
+                    at, plain = _closed(text, at + 2, "(", ")"), False
                 else:
                     break
             at = min(at, n)
             word = text[start:at]
+            if not plain:
+                _bodies(text, checked, at)
             if out and out[-1].text in ("<<", "<<-"):
                 pending.append((re.sub(r"['\"\\]", "", word), out[-1].text == "<<-", start))
             if at < n and text[at] in "<>" and word.isdigit():

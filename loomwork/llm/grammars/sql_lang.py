@@ -15,7 +15,7 @@ RESERVED = frozenset(
 GRAMMAR = Grammar("""
 script <- ';'* (statement (';'+ / &EOF))* EOF
 statement <- explain? (query_statement / insert / create / merge / update / delete / utility / SETTING)
-%explain <- 'explain' ('extended' / 'formatted' / 'codegen' / 'cost' / 'analyze')?
+%explain <- 'explain' ('extended' / 'formatted' / 'codegen' / 'cost' / 'analyze' !'table' / 'logical' / 'dependency' / 'authorization' / 'locks' / 'ast' / 'cbo' / 'verbose' / 'vectorization' 'only'? ('summary' / 'operator' / 'expression' / 'detail')? / '(' rest ')')*
 
 query_statement <- query / with? 'from' relation lateral* (insert_head select_tail_first / select_tail_first)+
 %select_tail_first <- 'select' select_body
@@ -93,7 +93,17 @@ create <- 'create' ('or' 'replace')? create_word* (create_table / create_view /
 %create_table <- 'table' ('if' 'not' 'exists')? qname (('(' column_def (',' column_def)* ')')? table_clause* ('as'? query table_clause*)? )
 %create_view <- 'view' ('if' 'not' 'exists')? qname ('(' view_column (',' view_column)* ')')? table_clause* 'as' query
 %view_column <- ident ('comment' STRING)?
-%create_other <- ('database' / 'schema' / 'function' / 'user' / 'role' / 'index' / 'aggregate' / 'macro' / 'catalog' / 'server' / 'procedure' / 'login') balanced
+%create_other <- ('database' / 'schema' / 'catalog') if_not? qname database_clause* / 'aggregate'? 'function' if_not? qname ('(' rest? ')')? function_clause+ / 'macro' qname '(' (field (',' field)*)? ')' expr / ('user' / 'role' / 'login') if_not? user_name user_option* / ('index' / 'server' / 'procedure') if_not? qname rest
+%if_not <- 'if' 'not' 'exists'
+%if_exists <- 'if' 'exists'
+%database_clause <- ('comment' / 'location' / 'managedlocation') path / 'with' 'dbproperties'? properties / 'authorization' user_name / 'using' qname
+%function_clause <- 'as' (STRING / query / expr) / 'using' resource (',' resource)* / 'location' path / 'returns' ('table' ('(' rest ')')? / type) / 'return' (query / expr) / 'language' ident / 'comment' STRING / ident '=' value / 'not'? 'deterministic'
+%resource <- ('jar' / 'file' / 'archive') path
+%user_name <- ident / STRING
+%user_option <- 'identified' ('with' user_name)? 'by' 'password'? value / ('set' / 'with' / 'encrypted')* 'password' '='? value / 'superuser' / 'nosuperuser' / 'createdb' / 'nologin' / 'set'? 'default'? ident '='? value
+%value <- STRING / NUMBER / ident / 'true' / 'false' / 'null'
+%path <- STRING / VARIABLE
+%names <- ident (',' ident)*
 column_def <- constraint / ident ':'? type column_option*
 %column_option <- 'not'? 'null' / 'comment' STRING / 'default' sum / 'primary' 'key' / 'unique' / 'references' balanced_until / 'check' '(' expr ')' / 'generated' 'always' 'as' '(' expr ')' / 'encoding' ident / ('disable' / 'enable') ('novalidate' / 'validate')? 'rely'? / 'auto_increment'
 %balanced_until <- qname ('(' ident (',' ident)* ')')?
@@ -110,10 +120,43 @@ merge <- with? 'merge' 'into' qname relation_alias? 'using' primary_relation 'on
 %assign <- qname '=' ('default' / expr)
 update <- with? 'update' qname relation_alias? 'set' assign (',' assign)* ('from' relation)? ('where' expr)?
 delete <- with? 'delete' 'from' qname relation_alias? ('using' relation)? ('where' expr)?
-utility <- ('drop' / 'alter' / 'truncate') utility_object balanced / 'set' / ('use' / 'show' / 'describe' / 'desc' / 'msck' / 'refresh' / 'invalidate' / 'analyze' / 'compute' / 'load' / 'grant' / 'revoke' / 'cache' / 'uncache' / 'add' / 'list' / 'reset' / 'export' / 'import' / 'copy' / 'call' / 'optimize' / 'vacuum' / 'comment' / 'lock' / 'unlock' / 'reload' / 'clear' / 'begin' / 'commit' / 'rollback' / 'start' / 'declare' / 'source' / 'dfs' / 'unset' / 'repair' / 'explain' / 'restore' / 'purge' / 'delete' ('jar' / 'file') / 'kill' / 'prepare' / 'execute' / 'deallocate') balanced
-%utility_object <- 'table' / 'view' / 'materialized' 'view' / 'database' / 'schema' / 'function' / 'temporary' ('function' / 'macro' / 'view') / 'user' / 'role' / 'index' / 'stats' / 'incremental' 'stats' / 'partition' / 'macro' / 'catalog' / &NAME
-balanced <- ('(' balanced ')' / '[' balanced ']' / '{' balanced '}' / BAL)*
-""".replace("BAL)*", "WORDLIKE)*").replace("WORDLIKE", "!';' !')' !']' !'}' !'(' !'[' !'{' !EOF any").rstrip() + """
+utility <- drop / alter / truncate / 'set' rest? / 'use' (('catalog' / 'schema' / 'database') qname / qname) / 'show' show / ('describe' / 'desc') describe_word* (query / qname partition? qname? / STRING) / ('msck' 'repair'? / 'repair') 'table' qname (('add' / 'drop' / 'sync') 'partitions')?
+  / 'refresh' ('table' qname / ('function' / 'functions' / 'materialized' 'view') qname / STRING / qname partition*) / 'invalidate' 'metadata' qname? / 'analyze' analyze / 'compute' 'incremental'? 'stats' qname (partition_filter / '(' names ')')? sample? / 'load' 'data' 'local'? 'inpath' path 'overwrite'? 'into' 'table' qname partition? ('inputformat' STRING 'serde' STRING)?
+  / 'grant' privilege (',' privilege)* ('on' object (',' object)*)? 'to' grantee (',' grantee)* ('with' ('grant' / 'admin') 'option')? / 'revoke' (('grant' / 'admin') 'option' 'for')? privilege (',' privilege)* ('on' object (',' object)*)? 'from' grantee (',' grantee)*
+  / 'cache' 'lazy'? 'table' qname ('options' properties)? ('as'? query)? / 'uncache' 'table' if_exists? qname / 'clear' 'cache' / ('add' / 'delete') files words / 'list' files words? / 'reset' words? / 'unset' words / ('source' / 'dfs') words
+  / 'export' 'table' qname partition? 'to' path ('for' rest)? / 'import' ('external'? 'table' qname partition?)? 'from' path ('location' path)? / 'copy' 'into'? (qname ('(' names ')')? / STRING) 'from' (STRING / VARIABLE / '(' query ')' / qname) rest? / 'call' qname '(' arguments? ')' / 'optimize' 'table'? qname rest? / 'vacuum' 'table'? (qname / STRING) rest?
+  / 'comment' 'on' ('table' / 'column' / 'view' / 'database' / 'schema' / 'role' / 'materialized' 'view' / 'function') qname 'is' (STRING / 'null') / 'lock' ('table' / 'tables' / 'database') qname partition? rest? / 'unlock' ('table' / 'tables' / 'database') (qname partition?)? / 'reload' ('function' / 'functions') / 'begin' ('transaction' / 'work')? / ('commit' / 'rollback') ('transaction' / 'work')? / 'start' 'transaction' rest?
+  / 'declare' ('or' 'replace')? 'variable'? declared / 'restore' 'table'? qname 'to' rest / 'kill' 'query' STRING (',' STRING)* / 'prepare' ident 'from' statement / 'execute' ('immediate' rest / ident ('using' exprs)?) / 'deallocate' 'prepare' ident
+%declared <- ident (('default' / '=') expr / type (('default' / '=') expr)?)
+%show <- 'create' ('table' / 'view' / 'schema' / 'database' / 'function' / 'materialized' 'view') qname ('as' 'serde')? / ('partitions' / 'tblproperties') qname rest? / 'columns' ('from' / 'in') qname rest? / 'table' ('extended' rest / 'stats' qname) / 'column' 'stats' qname / 'files' 'in' qname partition? / !('create' / 'partitions' / 'tblproperties' / 'columns' / 'files') rest
+%describe_word <- ('extended' / 'formatted' / 'database' / 'schema' / 'catalog' / 'function' / 'table' / 'query' / 'history' / 'detail' / 'input' / 'output') &(NAME / QUOTED_NAME / VARIABLE / STRING / 'table' / 'select' / 'with' / 'values' / 'from' / '(')
+%analyze <- 'table' qname partition_filter? 'compute' 'statistics' ('for' ('all'? 'columns' names? / names) / 'noscan' / 'partialscan' / 'cache' 'metadata')* / 'tables' (('in' / 'from') qname)? 'compute' 'statistics' 'noscan'? / qname ('with' properties)?
+%files <- 'jar' / 'jars' / 'file' / 'files' / 'archive' / 'archives'
+%privilege <- (!('on' / 'to' / 'from') (NAME / KEY / QUOTED_NAME / VARIABLE))+ ('(' names ')')?
+%object <- 'all' ident 'in' ident star_name / ('table' / 'values' / NAME) star_name / star_name
+%star_name <- STRING / '*' ('.' '*')? / ident ('.' (ident / '*'))*
+%grantee <- ('user' / 'role' / 'group' / 'share') user_name / user_name ('identified' 'by' value)?
+drop <- 'drop' ('temporary' / 'temp')? ('table' / 'materialized'? 'view' / 'aggregate'? 'function' / 'macro' / 'database' / 'schema' / 'catalog' / 'user' / 'role' / 'index' / 'incremental'? 'stats' / 'procedure' / 'server' / 'login' / 'connector') if_exists? drop_name (',' drop_name)* ('(' rest? ')')? partition_filter? ('on' qname)? ('cascade' / 'restrict' / 'purge' / 'force')*
+%drop_name <- qname / STRING
+truncate <- 'truncate' 'table'? if_exists? qname partition? ('columns' '(' names ')')? 'force'?
+alter <- 'alter' ('table' if_exists? qname partition? alter_action (','? alter_action)* / 'materialized'? 'view' if_exists? qname ('as'? query / ('enable' / 'disable') 'rewrite' / 'rebuild' / alter_action) / ('database' / 'schema' / 'catalog') qname alter_action / ('user' / 'role' / 'login') user_name ('rename' 'to' user_name / user_option+) / ('index' / 'function' / 'server' / 'procedure' / 'connector') qname rest)
+%alter_action <- 'rename' ('to' (qname / partition) / 'column' qname 'to' ident / partition 'to' partition) / 'add' alter_add / 'drop' alter_drop / 'change' 'column'? qname ident type column_option* position? scope? / 'alter' 'column'? qname alter_column+ / 'replace' 'columns' '(' column_def (',' column_def)* ')' scope? / 'set' alter_set / 'unset' property_word if_exists? properties
+  / 'recover' 'partitions' / 'exchange' partition 'with' 'table' qname / ('touch' / 'archive' / 'unarchive') partition? / 'compact' STRING rest? / 'concatenate' / ('enable' / 'disable') ('no_drop' 'cascade'? / 'offline') / table_clause / 'not' ('clustered' / 'sorted' / 'skewed' / 'stored' 'as' 'directories') / 'into' NUMBER 'buckets' / 'update' ('columns' / 'statistics' rest) / 'owner' 'to' user_name / 'execute' rest / 'partition' 'column' '(' field ')'
+%alter_add <- if_not? added_partition (','? added_partition)* / 'range' partition_filter / constraint / ('columns' / 'column')? if_not? ('(' alter_columns ')' / column_def position?) scope?
+%alter_columns <- column_def position? (',' column_def position?)*
+%added_partition <- partition ('location' path / 'cached' 'in' STRING / 'uncached')*
+%alter_drop <- if_exists? partition_filter (','? partition_filter)* ('purge' / 'ignore' 'protection')* / 'range' partition_filter / 'constraint' if_exists? ident / 'primary' 'key' / ('columns' / 'column') if_exists? ('(' qname (',' qname)* ')' / qname (',' qname)*) / !('columns' / 'column' / 'constraint' / 'range') qname
+%alter_column <- 'type' type / 'set' ('data' 'type' type / 'default' sum / 'not' 'null' / ident value) / 'drop' ('not' 'null' / 'default') / 'comment' STRING / position
+%alter_set <- property_word properties / 'location' path / 'serde' STRING ('with' 'serdeproperties' properties)? / 'fileformat' (ident / 'inputformat' STRING 'outputformat' STRING ('serde' STRING)?) / 'owner' ('user' / 'role' / 'group')? user_name / 'cached' 'in' STRING ('with' rest)? / 'uncached' / 'column' 'stats' ident properties / 'row' rest / 'skewed' 'location' properties / 'authorization' rest / 'tags' properties / ident '=' value
+%property_word <- 'tblproperties' / 'dbproperties' / 'serdeproperties' / 'properties' / 'tags'
+%partition_filter <- 'partition' '(' exprs ')'
+%position <- 'first' / 'after' ident
+%scope <- 'cascade' / 'restrict'
+balanced <- ('(' balanced ')' / '[' balanced ']' / '{' balanced '}' / !';' !')' !']' !'}' !'(' !'[' !'{' !EOF any)*
+rest <- (!marker (KEY / !';' !')' !']' !'}' !'(' !'[' !'{' !'*' OP))* operand ((!marker (KEY / !';' !')' !']' !'}' !'(' !'[' !'{' !'*' OP))* operand)*
+%operand <- '(' rest? ')' / '[' rest? ']' / '{' rest? '}' / NAME / QUOTED_NAME / VARIABLE / STRING / NUMBER / '*' / 'null' / 'true' / 'false' / 'all'
+%marker <- '<' '<' '<' / '==' '==' / '>' '>' '>'
+words <- (!marker !';' !EOF any)+
 %any <- NAME / KEY / STRING / NUMBER / OP / QUOTED_NAME / VARIABLE
 """)
 _TOKEN = re.compile(

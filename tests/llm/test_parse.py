@@ -95,6 +95,37 @@ def test_shell_invalid(t):
     assert not P.check(t, "shell").valid
 
 
+UTILITY_GOOD = [
+    "ALTER TABLE a.b ADD IF NOT EXISTS PARTITION (dt='1') LOCATION '/x' PARTITION (dt='2')", "alter table t add columns (a int comment 'x', b map<string,array<int>>) cascade", "alter table t drop if exists partition (dt < '2'), partition (dt = '3') purge", "alter table t change a b bigint comment 'c' after d",
+    "ALTER TABLE t SET TBLPROPERTIES ('a'='b'); alter table t rename to u; alter table t partition (dt='1') set location '/x'; alter table t alter column c type bigint", "ALTER USER u SET PASSWORD = 'x'; CREATE USER u IDENTIFIED BY 'x'; create user v identified by {{ pw }}; create role r", "drop view if exists v; drop database d cascade; DROP FUNCTION f; truncate table t partition (dt='1')",
+    "GRANT SELECT, INSERT ON TABLE a.b TO ROLE r WITH GRANT OPTION; revoke all privileges on database d from user u; grant role r to u", "ANALYZE TABLE t PARTITION (dt='1') COMPUTE STATISTICS FOR COLUMNS a, b; compute incremental stats t; COMPUTE STATS t", "LOAD DATA LOCAL INPATH '/x' OVERWRITE INTO TABLE t PARTITION (dt='1')",
+    "create database if not exists d comment 'x' location '/y'; create function f as 'a.B' using jar 'hdfs:///x.jar'; create temporary function g as 'C'; create macro m(x int) x + 1", "import table t from '/x'; export table t to '/x'; add jar /a/b-1.jar; list jars; source /a/b.hql; comment on table t is 'x'", "describe formatted a.b; desc t; explain select 1; show partitions t; show create table t; show tables; show tables in d like 'x*'; use d",
+    "CACHE TABLE t; REFRESH TABLE t; INVALIDATE METADATA; copy into t from 's3://x' credentials 'a=b' fileformat = csv; set; reset; begin; commit",
+]
+UTILITY_BAD = [
+    "ALTER TABLE t ADD", "alter table t", "alter table t add columns (a", "alter table t add partition", "alter table t rename to", "alter user u set password", "alter user u set password =", "drop table", "drop table if exists", "truncate table", "grant select on t", "grant select on table t to", "analyze table t", "analyze table t compute", "msck repair table", "msck",
+    "load data inpath '/x' into table", "create database", "create function f", "create user u identified by", "import os\nimport sys\nprint(sys.argv)\n", "import os", "explain", "explain nonsense words", "show partitions", "describe", "comment on table t is", "list of things", "copy into t from", "purge it", "use",
+    "alter table t\n<<<<<<< HEAD\nadd columns (a int)\n=======\nadd columns (b int)\n>>>>>>> x\n", "set x y\n<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n",
+]
+BODIES_GOOD = ["x=$(if a; then b; fi)\n", 'echo "$(a "$(b | c)") `d \\`e\\``"\n', "a=(1 '2' \"$(x y)\"\n  3 # r\n)\n", "diff <(a | b) <(c)\n", "x=$(( $(a) + (2) )); y=${z:-$(b)}\n", "x=$(<f); y=$(); z=$(\n# r\na\n)\n", "echo '$(if)' \"it's $(a)\"\n"]
+BODIES_BAD = ["x=$(if true)\n", 'echo "$(for x in a; do b)"\n', "x=`if a`\n", "diff <(a |) b\n", "x=${y:-$(a | | b)}\n", "a=(1 | 2)\n", "x=$(( $(fi) + 1 ))\n", 'x="$(a "$(then)")"\n', "a=($(if b))\n"]
+
+
+@pytest.mark.parametrize("t", UTILITY_GOOD)
+def test_sql_utility_valid(t):
+    assert P.check(t, "sql") == P.Verdict(True)
+
+
+@pytest.mark.parametrize("t", UTILITY_BAD)
+def test_sql_utility_invalid(t):
+    assert not P.check(t, "sql").valid
+
+
+@pytest.mark.parametrize(("t", "ok"), [*((t, True) for t in BODIES_GOOD), *((t, False) for t in BODIES_BAD)])
+def test_shell_bodies(t, ok):
+    assert P.check(t, "shell").valid == ok
+
+
 def test_place_and_cause():
     v = P.check("x = 1\n<<<<<<< a\ny = 2\n=======\ny = 3\n>>>>>>> b\n", "python")
     assert (v.cause, v.line_no) == ("merge conflict", 2)
