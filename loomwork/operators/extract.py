@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DIALECTS, SHELL_RUNNERS, SQL_CALLS, SQL_INSIDE, SQL_NAMES, SQL_STARTS
 
-#: Statements shorter than this are none; characters by which a statement is found again in its file (fixed values).
-LEAST, HEAD = 10, 50
+#: Statements shorter than this are none (fixed value).
+LEAST = 10
 SCHEMA = "source_file string, ordinal int, sql string, line_start int, line_end int, sql_type string, context string"
 
 _LONG = [(q, re.compile(rf"{q}(.*?){q}", re.S)) for q in ('"""', "'''")]
@@ -67,6 +68,27 @@ def strip_comments(text: str) -> str:
     return re.sub(r"/\*.*?\*/", "", re.sub(r"--[^\n]*", "", text), flags=re.S)
 
 
+def _places(text: str) -> Callable[[int], int]:
+    """Where a character of the text without comments stands in the text."""
+    maps = []
+    for p in (re.compile(r"--[^\n]*"), re.compile(r"/\*.*?\*/", re.S)):
+        after, shift, gone = [], [], 0
+        for m in p.finditer(text):
+            after.append(m.start() - gone)
+            gone += m.end() - m.start()
+            shift.append(gone)
+        maps.append((after, shift))
+        text = p.sub("", text)
+
+    def place(at: int) -> int:
+        for after, shift in reversed(maps):
+            k = bisect.bisect_right(after, at)
+            at += shift[k - 1] if k else 0
+        return at
+
+    return place
+
+
 def _found(text: str, patterns: list[re.Pattern], loose: bool) -> Iterator[tuple[str, int, int, str]]:
     seen = set()
     for p in patterns:
@@ -99,15 +121,13 @@ def statements_of(text: str, kind: str) -> list[tuple[str, int, int, str, str]]:
     else:
         found = [*_found(text, _PY, True), *_found(text, _SH, False)]
     if kind in ("sql", "hql") or kind not in ("py", "sh") and not found:
-        at = 0
-        for raw in split_statements(strip_comments(text)):
+        bare, place, at = strip_comments(text), _places(text), 0
+        for raw in split_statements(bare):
+            start = bare.index(raw, at)  # only white space and semicolons stand before it
+            at = start + len(raw)
             sql = clean(raw)
             if is_statement(sql):
-                hit = text.find(raw[:HEAD], at)
-                start = hit if hit >= 0 else at
-                at = max(at, start)
-                n = line(start)
-                rows.append((sql, n, n + raw.count("\n"), dialect_of(sql), "stmt"))
+                rows.append((sql, line(place(start)), line(place(at - 1)), dialect_of(sql), "stmt"))
         return rows
     for sql, a, b, name in found:
         rows.append((sql, line(a), line(b), dialect_of(sql), name))

@@ -35,6 +35,13 @@ def test_wildcards_and_describe(spark):
     assert [(r.ordinal_position, r.column_name) for r in profile.parse_describe(rows, "i").orderBy("ordinal_position").collect()] == [(1, "a"), (2, "b")]
 
 
+def test_statements_have_their_own_lines():
+    same = "INSERT INTO db.target_table_with_a_long_name SELECT a_column FROM db.t WHERE dt = "
+    sql = f"-- one\n{same}1;\n\n{same}2\n;\n/* a\n;b */ SELECT /* x\ny */ col\nFROM db.u -- c\n;;\n  -- last\nSELECT col -- d\n  , e FROM db.v"
+    got = extract.statements_of(sql, "sql")
+    assert [(s[1], s[2]) for s in got] == [(2, 2), (4, 4), (7, 9), (12, 13)]
+
+
 def test_statements_are_split_outside_quotes():
     assert extract.split_statements("select ';' ; insert into t values (\"a;b\");x\;y") == ["select ';'", 'insert into t values ("a;b")', "x\;y"]
 
