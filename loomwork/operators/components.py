@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stage
+from .skew import join_per_key
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -17,16 +18,16 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     null end take no part; no edges give an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_per_key(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(large.filter("u <> v").distinct(), "large")
+        down = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "down")
+        small = join_per_key(large, down, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of staged tables that this process made.
+_MADE: list[str] = []
+
 
 def local_session(app: str = "loomwork", cpus: str | int = 8, **conf: str) -> SparkSession:
     """A local session with the settings tests and the benchmark use."""
@@ -50,8 +53,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder. What is written there is deleted when the application ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    _MADE.append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all staged tables of this process now; results that still read them are lost. Their number is returned."""
+    n = len(_MADE)
+    while _MADE:
+        fs, at = _file_system(spark, _MADE.pop())
+        fs.delete(at, True)
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:
