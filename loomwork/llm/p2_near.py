@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import cut
+from ..operators.skew import join_per_key
+from ..session import stage
 
 #: Minhashes in a half key, and half keys in each of the two collections.
 WIDTH, SIDE = 3, 16
+#: Rows of a table key or class that one task compares with each other; larger ones are spread over squares of tasks.
+BUCKET = 2000
 
 
 def word_pairs(df: DataFrame, row_id: str, text: str, least_words: int = 15) -> DataFrame:
@@ -43,7 +46,7 @@ def word_pairs(df: DataFrame, row_id: str, text: str, least_words: int = 15) ->
     )
 
 
-def _table_keys(width: int, side: int):
+def _half_keys(width: int, side: int):
     rng = np.random.default_rng(20240229)
     mult = rng.integers(1, 2**63, 2 * side * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, 2 * side * width, dtype=np.uint64)
@@ -55,68 +58,122 @@ def _table_keys(width: int, side: int):
         return h ^ (h >> np.uint64(31))
 
     @F.pandas_udf("array<long>")
-    def keys(sets: pd.Series) -> pd.Series:
+    def halves(sets: pd.Series) -> pd.Series:
         if not len(sets):
             return pd.Series([], dtype=object)
         flat = np.concatenate(sets.to_list()).astype(np.int64).view(np.uint64)
         starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-        least = np.empty((len(mult), len(sets)), dtype=np.uint64)
-        for j, (a, b) in enumerate(zip(mult, add, strict=True)):
-            least[j] = np.minimum.reduceat(fold(flat * a + b), starts)
         half = np.zeros((2 * side, len(sets)), dtype=np.uint64)
         for j in range(2 * side):
-            for row in least[j * width : (j + 1) * width]:
-                half[j] = fold(half[j] * mix + row + np.uint64(j + 1))
-        u, v = half[:side], half[side:]
-        table = fold(u[:, None, :] * mix + v[None, :, :]).reshape(side * side, -1)
-        return pd.Series(list(table.T.view(np.int64)))
+            for a, b in zip(mult[j * width : (j + 1) * width], add[j * width : (j + 1) * width], strict=True):
+                half[j] = fold(half[j] * mix + np.minimum.reduceat(fold(flat * a + b), starts) + np.uint64(j + 1))
+        return pd.Series(list(half.T.view(np.int64)))
 
-    return keys
+    return halves
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """id, rep: records with the same set of pairs, under the smallest id."""
-    key = F.md5(F.concat_ws(",", F.col("pairs").cast("array<string>")))
-    keyed = sets.select("id", key.alias("k"))
-    reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, "k").select("id", "rep")
+def classes(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """id, rep, parts, part: records with the same set of pairs, under the smallest id.
+
+    A class of more than ``bucket`` records has several parts, and each record is in one.
+    """
+    keyed = stage(sets.select("id", F.md5(F.concat_ws(",", F.col("pairs").cast("array<string>"))).alias("k")), "sets")
+    reps = stage(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    parts = F.ceil(F.col("copies") / bucket).cast("int")
+    return (
+        join_per_key(keyed, reps, "k", "copies")
+        .withColumn("parts", parts)
+        .select("id", "rep", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    )
+
+
+def _met(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
+    """a, n_a, b, n_b: pairs a < b of the rows (key, id, n) with the same key.
+
+    A key with k rows is a square of (k / bucket) ** 2 cells, so a task has at
+    most about bucket ** 2 pairs of one cell, whatever k is. ``sizes``: key, k.
+    """
+    grid = rows.join(sizes.filter("k > 1").withColumn("g", F.ceil(F.col("k") / bucket).cast("int")).drop("k").hint("merge"), "key")
+    own, all_ = F.pmod(F.xxhash64("id"), "g").cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    x = grid.select("key", own.alias("r"), all_.alias("c"), F.col("id").alias("a"), F.col("n").alias("n_a"))
+    y = grid.select("key", own.alias("c"), all_.alias("r"), F.col("id").alias("b"), F.col("n").alias("n_b"))
+    return x.join(y.hint("merge"), ["key", "r", "c"]).filter("a < b").select("a", "n_a", "b", "n_b")
 
 
-def similar_classes(sets: DataFrame, percent: int = 70, width: int = WIDTH, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+def candidates(halves: DataFrame, percent: int, side: int = SIDE, bucket: int = BUCKET) -> DataFrame:
+    """a < b: records (id, n, halves) that share a table key, and whose sizes allow ``percent``.
+
+    A table key can be hot only if both its half keys are. Half keys are counted
+    exactly, an eighth of the table keys; table keys of two hot halves are then
+    counted too and met in squares. The others are met by one join.
+    """
+    each = halves.select("id", F.explode("halves").alias("h"))
+    hot = stage(each.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > bucket).select("h"), "hot")
+    some = not hot.isEmpty()
+    src = halves.withColumn("hot", F.array().cast("array<long>"))
+    if some:
+        marks = each.join(hot.hint("merge"), "h").groupBy("id").agg(F.collect_set("h").alias("hot"))
+        src = halves.join(marks.hint("merge"), "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+    both_hot = F.array_contains("hot", F.col("u")) & F.array_contains("hot", F.col("v"))
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+
+    def keyed(which: F.Column | None) -> DataFrame:
+        one = src.select("id", "n", "hot", "halves", F.explode(F.slice("halves", 1, side)).alias("u"))
+        two = one.select("id", "n", "hot", "u", F.explode(F.slice("halves", side + 1, side)).alias("v"))
+        return (two if which is None else two.filter(which)).select(F.xxhash64("u", "v").alias("key"), "id", "n")
+
+    rows = keyed(~both_hot if some else None)
+    x, y = (rows.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("a", "b"))
+    met = x.join(y.hint("merge"), "key").filter("a < b").filter(fits).select("a", "b")
+    if some:
+        hot_rows = stage(keyed(both_hot), "hot_keys")
+        sizes = stage(hot_rows.groupBy("key").agg(F.count("*").alias("k")), "hot_sizes")
+        met = met.union(_met(hot_rows, sizes, bucket).filter(fits).select("a", "b"))
+    return met.distinct()
+
+
+def similar_classes(sets: DataFrame, percent: int = 70, width: int = WIDTH, side: int = SIDE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of each record, and pairs of classes at least ``percent`` alike.
 
-    members: id, rep. links: a < b (representatives), common, either.
-    Skewed table keys are split by adaptive skew joins; no bucket is capped.
+    members: id, rep, parts, part. links: a < b (representatives), common,
+    either, and parts of both. No bucket is capped, and no join after an
+    explode is left to an estimate of its size.
     """
-    sets = cut(sets)
-    members = cut(classes(sets))
-    reps = sets.join(members.filter("id = rep").select("id"), "id", "left_semi")
-    keyed = reps.select("id", "n", F.explode(_table_keys(width, side)("pairs")).alias("key"))
-    x, y = (keyed.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("a", "b"))
-    cand = (
-        x.join(y, "key")
-        .filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b")
-        .distinct()
-    )
-    side_of = lambda i: reps.select(F.col("id").alias(i), F.col("pairs").alias(f"p_{i}"))
+    sets = stage(sets, "pairs")
+    members = stage(classes(sets, bucket), "members")
+    first = members.filter("id = rep").select("id", "parts")
+    reps = stage(sets.join(first.hint("merge"), "id").withColumn("halves", _half_keys(width, side)("pairs")), "representatives")
+    cand = candidates(reps.select("id", "n", "halves"), percent, side, bucket)
+    side_of = lambda i: reps.select(F.col("id").alias(i), F.col("pairs").alias(f"p_{i}"), F.col("parts").alias(f"parts_{i}")).hint("merge")
     links = (
         cand.join(side_of("a"), "a")
         .join(side_of("b"), "b")
-        .select("a", "b", F.size(F.array_intersect("p_a", "p_b")).alias("common"), (F.size("p_a") + F.size("p_b")).alias("sum"))
-        .select("a", "b", "common", (F.col("sum") - F.col("common")).alias("either"))
+        .select("a", "b", F.size(F.array_intersect("p_a", "p_b")).alias("common"), (F.size("p_a") + F.size("p_b")).alias("sum"), "parts_a", "parts_b")
+        .select("a", "b", "common", (F.col("sum") - F.col("common")).alias("either"), "parts_a", "parts_b")
         .filter(f"100 * common >= {percent} * either")
     )
     return members, links
 
 
-def similar_pairs(df: DataFrame, row_id: str, text: str, percent: int = 70) -> DataFrame:
-    """All pairs of rows at least ``percent`` alike, copies included: id_a < id_b, similarity."""
-    members, links = similar_classes(word_pairs(df, row_id, text), percent)
-    m = lambda i, r: members.select(F.col("id").alias(i), F.col("rep").alias(r))
-    far = links.join(m("x", "a"), "a").join(m("y", "b"), "b").select("x", "y", (F.col("common") / F.col("either")).alias("similarity"))
-    same = m("x", "r").join(m("y", "r"), "r").filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    return far.union(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+def similar_pairs(df: DataFrame, row_id: str, text: str, percent: int = 70, bucket: int = BUCKET) -> DataFrame:
+    """All pairs of rows at least ``percent`` alike, copies included: id_a < id_b, similarity.
+
+    Links reach the records of large classes part by part, and copies meet in squares.
+    """
+    members, links = similar_classes(word_pairs(df, row_id, text), percent, bucket=bucket)
+    of = lambda i, r: members.select(F.col("id").alias(i), F.col("rep").alias(r), F.col("part").alias(f"part_{r}")).hint("merge")
+    parts = lambda r: F.explode(F.sequence(F.lit(0), F.col(f"parts_{r}") - 1)).alias(f"part_{r}")
+    far = (
+        links.select("*", parts("a"))
+        .join(of("x", "a"), ["a", "part_a"])
+        .select("*", parts("b"))
+        .join(of("y", "b"), ["b", "part_b"])
+        .select("x", "y", (F.col("common") / F.col("either")).alias("similarity"))
+    )
+    rows = members.select(F.col("rep").alias("key"), "id", F.lit(0).alias("n"))
+    same = _met(rows, stage(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "sizes"), bucket)
+    both = far.union(same.select("a", "b", F.lit(1.0)))
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
 def groups(df: DataFrame, row_id: str, text: str, percent: int = 70) -> DataFrame:
@@ -127,15 +184,15 @@ def groups(df: DataFrame, row_id: str, text: str, percent: int = 70) -> DataFram
     ``percent`` alike; copies: rows of the class. Pairs of copies are not expanded.
     """
     members, links = similar_classes(word_pairs(df, row_id, text), percent)
-    links = cut(links)
+    links = stage(links.select("a", "b"), "links")
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
     comp = components(links, "a", "b").withColumnRenamed("node", "rep")
-    size = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    size = stage(members.groupBy("rep").agg(F.count("*").alias("copies")), "sizes")
     of = (
-        size.join(degree, "rep", "left")
-        .join(comp, "rep", "left")
+        size.join(degree.hint("merge"), "rep", "left")
+        .join(comp.hint("merge"), "rep", "left")
         .filter("copies > 1 or links is not null")
         .select("rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies")
     )
-    return members.join(of, "rep").select("id", "rep", "group_id", "links", "copies")
+    return join_per_key(members, stage(of, "groups"), "rep", "copies").select("id", "rep", "group_id", "links", "copies")

@@ -53,3 +53,25 @@ def test_null_short_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "a b c")], "id long, t string")
     assert p2_near.similar_pairs(df, "id", "t").count() == 0
     assert p2_near.groups(df.limit(0), "id", "t").count() == 0
+
+
+def test_hot_buckets_and_classes_are_met_in_parts(spark):
+    rnd, base = random.Random(4), [random.Random(5).choice(WORDS) for _ in range(60)]
+    rows = corpus(60, 3) + [" ".join(base)] * 40  # a class of many copies
+    for _ in range(60):  # and a bucket of many like it
+        t = list(base)
+        t[rnd.randrange(60)] = rnd.choice(WORDS)
+        rows.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
+    want = brute(rows)
+    one, parts = ([(r.id_a, r.id_b) for r in p2_near.similar_pairs(df, "id", "t", bucket=b).collect()] for b in (1000, 7))
+    assert set(one) == set(parts) and len(parts) == len(set(parts))
+    assert set(parts) <= want and len(parts) >= 0.99 * len(want)
+
+
+def test_no_join_on_an_estimate(spark):
+    df = spark.createDataFrame(list(enumerate(corpus(40, 6))), "id long, t string")
+    plan = p2_near.similar_pairs(df, "id", "t")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    _, links = p2_near.similar_classes(p2_near.word_pairs(df, "id", "t"))
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
