@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..operators.skew import hot_bound
+from ..session import stage
 
 #: Keys are hot from this many rows, or this share of all rows if that is more: at most 1 / HOT_SHARE keys are hot.
-HOT_ROWS, HOT_SHARE, SALTS = 10_000, 0.001, 64
+HOT_ROWS, HOT_SHARE, SALTS = 8, 0.001, 64
+#: Characters up to which a part of a canonical text is kept as it is.
+LONG = 1000
 
 _TOKEN = re.compile(
     r"""(?xs)
@@ -28,51 +31,26 @@ _LIST_END = frozenset("from where group having order limit union intersect excep
 _GROUP_END = frozenset("having order limit union intersect except minus window distribute sort cluster qualify with ;".split())
 
 
-def _tree(sql: str) -> list:
-    """Tokens, with what stands in parentheses as nested lists; letter case and white space outside quotes gone."""
-    top: list = []
-    open_: list[list] = [top]
-    for m in _TOKEN.finditer(sql):
-        kind = m.lastgroup
-        if kind == "space":
-            continue
-        t = m[kind]
-        if kind in ("line", "block"):
-            mark, body = t[:2], t[2:]
-            if kind == "block" and body.endswith("*/"):
-                body = body[:-2]
-            open_[-1].append(("note", " ".join([mark, *re.findall(r"\w+|[^\w\s]", body.lower())])))
-        elif kind == "quoted":
-            open_[-1].append(("text", t))
-        elif t == "(":
-            inner: list = []
-            open_[-1].append(inner)
-            open_.append(inner)
-        elif t == ")" and len(open_) > 1:
-            open_.pop()
-        else:
-            open_[-1].append(t.lower())
-    return top
-
+def _short(s: str) -> str:
+    """A part of a canonical text; a long one by its digest, so that nested parts are not copied again and again."""
+    return s if len(s) <= LONG else "\x02" + hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=32).hexdigest()
 
-def _flat(x) -> str:
-    return f"( {_canon(x)} )" if isinstance(x, list) else f"\x01{x[1]}" if isinstance(x, tuple) else x
 
-
-def _sorted_items(tokens: list, at: int, stop: frozenset) -> tuple[str, int]:
+def _sorted_items(tokens: list[str], at: int, stop: frozenset) -> tuple[str, int]:
     items, item = [], []
-    while at < len(tokens) and not (isinstance(tokens[at], str) and tokens[at] in stop):
+    while at < len(tokens) and tokens[at] not in stop:
         if tokens[at] == ",":
-            items.append(" ".join(item))
+            items.append(_short(" ".join(item)))
             item = []
         else:
-            item.append(_flat(tokens[at]))
+            item.append(tokens[at])
         at += 1
-    items.append(" ".join(item))
+    items.append(_short(" ".join(item)))
     return " , ".join(sorted(items)), at
 
 
-def _canon(tokens: list) -> str:
+def _canon(tokens: list[str]) -> str:
+    """Tokens of one pair of parentheses, with the items of its select and GROUP BY lists in order."""
     out, at = [], 0
     while at < len(tokens):
         t = tokens[at]
@@ -88,7 +66,7 @@ def _canon(tokens: list) -> str:
             items, at = _sorted_items(tokens, at + 2, _GROUP_END)
             out.append(f"group by {items}")
         else:
-            out.append(_flat(t))
+            out.append(t)
             at += 1
     return " ".join(out)
 
@@ -99,12 +77,36 @@ def canonical(sql: str) -> str:
     White space and letter case outside quoted values, back quotes round names,
     closing semicolons, and the order of items in select and GROUP BY lists (of
     subqueries too) are disregarded; operators, numbers, quoted values, the
-    order of conditions and the words of comments count.
+    order of conditions and the words of comments count. Parentheses may be
+    nested to any depth; ones that are never closed stay open. Long parts are
+    given by their digests.
     """
-    tree = _tree(sql)
-    while tree and tree[-1] == ";":
-        tree.pop()
-    return _canon(tree)
+    open_: list[list[str]] = [[]]
+    for m in _TOKEN.finditer(sql):
+        kind = m.lastgroup
+        if kind == "space":
+            continue
+        t = m[kind]
+        if kind in ("line", "block"):
+            mark, body = t[:2], t[2:]
+            if kind == "block" and body.endswith("*/"):
+                body = body[:-2]
+            open_[-1].append("\x01" + " ".join([mark, *re.findall(r"\w+|[^\w\s]", body.lower())]))
+        elif kind == "quoted":
+            open_[-1].append("\x01" + t)
+        elif t == "(":
+            open_.append([])
+        elif t == ")" and len(open_) > 1:
+            inner = open_.pop()
+            open_[-1].append(_short(f"( {_canon(inner)} )"))
+        else:
+            open_[-1].append(t.lower())
+    while open_[-1] and open_[-1][-1] == ";":
+        open_[-1].pop()
+    while len(open_) > 1:
+        inner = open_.pop()
+        open_[-1].append(_short(f"( {_canon(inner)}"))
+    return _canon(open_[0])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -118,27 +120,31 @@ def keyed(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return t.select("id", canonical_key("t").alias("key"))
 
 
-def collapse(keys: DataFrame, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """(hot, rest): one row per key with keep_id (its smallest id) and copies (its rows).
+def collapse(keys: DataFrame, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE, salts: int = SALTS) -> tuple[DataFrame, DataFrame, list[bytes]]:
+    """(hot, rest, hot keys): one row per key with keep_id (its smallest id) and copies (its rows).
 
     Exact counts, combined before the shuffle, tell the hot keys; their number
     is bounded by the share. Hot rows are grouped by key and salt, then by key;
     the others by one shuffle.
     """
-    counts = cut(keys.groupBy("key").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot_keys = [bytes(r[0]) for r in counts.filter(F.col("n") >= max(hot_rows, int(total * hot_share) + 1)).select("key").collect()]
+    counts = stage(keys.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    bound = hot_bound(counts, "n", hot_rows, hot_share)
+    hot_keys = [bytes(r[0]) for r in counts.filter(F.col("n") >= bound).select("key").collect()]
     best = (F.min("id").alias("keep_id"), F.count("*").alias("copies"))
-    is_hot = F.col("key").isin(hot_keys) if hot_keys else F.lit(False)
+    is_hot = _among(hot_keys)
     rest = keys.filter(~is_hot).groupBy("key").agg(*best)
     salted = keys.filter(is_hot).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(*best)
     hot = salted.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-    return hot, rest
+    return hot, rest, hot_keys
+
+
+def _among(keys: list[bytes]) -> F.Column:
+    return F.col("key").isin(keys) if keys else F.lit(False)
 
 
 def statements(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """One row per distinct statement: keep_id, copies, and its text as the kept row writes it."""
-    hot, rest = collapse(cut(keyed(df, row_id, text)))
+    hot, rest, _ = collapse(stage(keyed(df, row_id, text), "keys"))
     kept = hot.union(rest).select("keep_id", "copies")
     src = df.select(F.col(row_id).cast("long").alias("keep_id"), F.col(text).alias("text")).dropDuplicates(["keep_id"])
     return kept.join(src, "keep_id").select("keep_id", "copies", "text")
@@ -148,12 +154,9 @@ def copies(df: DataFrame, row_id: str, text: str, **skew) -> DataFrame:
     """keep_id, copy_id: each further row of a group with the group's smallest id.
 
     The few hot groups reach their rows by broadcast (their number is bounded),
-    the others by a join on the key. A row id that occurs twice is one row.
+    and their rows are not shuffled; the others meet by a join on the key. A row id that occurs twice is one row.
     """
-    keys = cut(keyed(df, row_id, text))
-    hot, rest = collapse(keys, **skew)
-    out = [
-        keys.join(g.filter("copies > 1").select("key", "keep_id"), "key").filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
-        for g in (F.broadcast(hot), rest)
-    ]
-    return out[0].union(out[1]).distinct()
+    keys = stage(keyed(df, row_id, text), "keys")
+    hot, rest, hot_keys = collapse(keys, **skew)
+    met = keys.filter(_among(hot_keys)).join(F.broadcast(hot), "key"), keys.filter(~_among(hot_keys)).join(rest.filter("copies > 1").hint("merge"), "key")
+    return met[0].union(met[1]).filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id")).distinct()

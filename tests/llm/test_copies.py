@@ -35,7 +35,7 @@ def test_other(a, b):
     assert C.canonical(a) != C.canonical(b)
 
 
-@pytest.mark.parametrize("odd", ["", "   ", "(((", ")))", "'open", "/* open", "`open", "select", "select from", ";;;", "select " + "(" * 300 + ")" * 300])
+@pytest.mark.parametrize("odd", ["", "   ", "(((", ")))", "'open", "/* open", "`open", "select", "select from", ";;;", "select " + "(" * 100_000 + ")" * 100_000, "(" * 100_000, "(select b, a " * 20_000, ")" * 1000])
 def test_odd_texts(odd):
     assert isinstance(C.canonical(odd), str)
 
@@ -49,3 +49,18 @@ def test_hot_and_other_keys_alike(spark):
     kept = {r.keep_id: r.copies for r in C.statements(df, "id", "sql").collect()}
     assert kept[0] == 200 and kept[200] == 2 and len(kept) == 31 and sum(kept.values()) == 260
     assert C.copies(df.limit(0), "id", "sql").count() == 0
+
+
+def test_deep_and_long_texts_keep_their_rules():
+    deep = lambda a, b: "(" * 5000 + f"select {a}, {b} from t" + ")" * 5000
+    assert C.canonical(deep("x", "y")) == C.canonical(deep("y", "x")) != C.canonical(deep("y", "z"))
+    assert C.canonical("select (a from t") != C.canonical("select (a) from t")
+    many = [f"col_{i} + {i}" for i in range(3000)]
+    assert C.canonical(f"select {', '.join(many)} from t") == C.canonical(f"SELECT {', '.join(many[::-1])} FROM t")
+
+
+def test_rows_of_hot_keys_are_not_shuffled_to_one_task(spark):
+    df = spark.createDataFrame([(i, "select a from hot" if i % 3 else f"select {i}") for i in range(90)], "id long, sql string")
+    keys = C.stage(C.keyed(df, "id", "sql"))
+    hot, rest, names = C.collapse(keys)
+    assert len(names) == 1 and hot.count() == 1 and rest.count() == 30 and rest.filter("copies > 1").count() == 0
