@@ -18,15 +18,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stage
 
 #: Documents that one task packs at a time; groups are made so that this holds on average.
 GROUP = 4000
-#: Moves that the local search tries for a container before it is left as it is.
-TRIES = 400
 #: Containers filled to this share are closed after a round.
 CLOSED = 0.995
 #: Containers with less free space than this share are not searched from.
@@ -35,29 +34,34 @@ SLACK = 0.02
 MOST_TYPES = 1000
 
 
-@cache
-def _encoding(path: str):
-    import public_tokenizers
-    import tiktoken
+# --- fixed value: how byte-level BPE vocabularies of 50k tokens cut texts into words ---
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+@cache
+def _encoding(ranks: bytes) -> tiktoken.Encoding:
+    """The tokenizer of a file's lines: a token in base64, a space, its rank."""
+    pairs = (line.split() for line in ranks.splitlines() if line.strip())
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None) -> DataFrame:
     """doc, size: tokens of each non-blank text, by the vocabulary file (ranks of a byte-level BPE) at ``vocabulary``.
 
-    Without a file, one token per run of letters or digits and one per other
-    visible character. Null and blank texts, and null ids, take no part.
+    The driver reads the file, about a megabyte, and sends it to the tasks; a
+    file that is missing raises. Only for None there is one token per run of
+    letters or digits and one per other visible character. Null and blank
+    texts, and null ids, take no part.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t")).filter(r"t rlike '\\S' and doc is not null")
     if vocabulary is None:
         return src.select("doc", F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).alias("size"))
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("int")
     def count(s: pd.Series) -> pd.Series:
-        enc = _encoding(vocabulary)
+        enc = _encoding(ranks.value)
         return s.map(lambda x: len(enc.encode_ordinary(x)))
 
     return src.select("doc", count("t").alias("size"))
@@ -130,19 +134,17 @@ class _Bins:
         return True
 
     def local_search(self) -> None:
+        """Changes until none raises the sum of squared fills, which each does by one token at least."""
         others = sorted((b for b in range(len(self.items)) if self.free[b] > 0), key=lambda b: -self.free[b])
         order = [b for b in others if self.free[b] > SLACK * self.capacity]
         for a in order:
-            tries, again = 0, True
-            while again and tries < TRIES:  # a change may open another container that was looked at before
+            again = True
+            while again:  # a change may open another container that was looked at before
                 again = False
                 for b in others:
-                    while self.items[a] and b != a and self.items[b] and tries < TRIES and self.free[a] >= self.free[b]:
-                        tries += 1
-                        if not self._improve(a, b):
-                            break
+                    while self.items[a] and b != a and self.items[b] and self.free[a] >= self.free[b] and self._improve(a, b):
                         again = True
-                    if tries >= TRIES or not self.items[a]:
+                    if not self.items[a]:
                         break
 
 
@@ -192,22 +194,25 @@ def containers(sizes: DataFrame, spec: DataFrame, rounds: int = 2, group: int =
         .withColumn("size", F.expr("CASE WHEN piece < full THEN capacity ELSE size - full * capacity END").cast("int"))
         .drop("full")
     )
-    pieces = cut(pieces)
+    pieces = stage(pieces, "pieces")
     whole = pieces.filter("size = capacity")
     out = [whole.select("container_type", "capacity", F.concat_ws("-", F.lit("f"), "doc", "piece").alias("container"), "doc", "piece", "size")]
     left = pieces.filter("size < capacity")
     schema = "container_type string, capacity int, container string, doc long, piece int, size int, closed boolean"
     for n in range(rounds):
-        total = left.count()
-        if not total:
+        totals = left.groupBy("container_type", "capacity").count().collect()  # MOST_TYPES rows at most
+        if not totals:
             break
         last = n == rounds - 1
-        groups = max(1, math.ceil(total / (3 * group)))
-
-        packed = cut(
-            left.withColumn("grp", F.pmod(F.xxhash64("doc", "piece", F.lit(n)), F.lit(groups)).cast("int"))
+        of_type = F.lit(1)
+        for t in totals:
+            if (g := math.ceil(t["count"] / group)) > 1:
+                of_type = F.when(F.col("container_type").eqNullSafe(F.lit(t["container_type"])) & (F.col("capacity") == t["capacity"]), g).otherwise(of_type)
+        packed = stage(
+            left.withColumn("grp", F.pmod(F.xxhash64("doc", "piece", F.lit(n)), of_type).cast("int"))
             .groupBy("container_type", "capacity", "grp")
-            .applyInPandas(_packer(n, last), schema)
+            .applyInPandas(_packer(n, last), schema),
+            "packed",
         )
         out.append(packed.filter("closed").drop("closed"))
         left = packed.filter("not closed").select("container_type", "capacity", "doc", "piece", "size")

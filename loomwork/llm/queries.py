@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import p1_secrets, p2_near, p4_copies, p6_parse, p7_pack, p8_leaks, p9_cut
 
-#: Vocabulary for token counts; another file by the session setting loomwork.vocabulary.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The setting that names the vocabulary file for token counts (ranks of a byte-level BPE); "none" counts words and signs.
+VOCABULARY = "loomwork.vocabulary"
+#: Where it is unset: a file of the installed package that holds vocabularies of public tokenizers.
+PACKAGE, FILE = "public_tokenizers", "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(spark: SparkSession) -> str | None:
+    """The file by which tokens are counted; raises rather than count otherwise than was told."""
+    told = spark.conf.get(VOCABULARY, None)
+    if told:
+        return None if told == "none" else told
+    try:
+        return importlib.import_module(PACKAGE).path(FILE)
+    except ImportError:
+        raise LookupError(f"set {VOCABULARY} to a vocabulary file, or to none") from None
 
 
 def _p1_all(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +84,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = spark.conf.get("loomwork.vocabulary", VOCABULARY)
-    sizes = p7_pack.token_counts(table(spark, d, "documents"), "doc_id", "text", vocabulary if os.path.exists(vocabulary) else None)
+    sizes = p7_pack.token_counts(table(spark, d, "documents"), "doc_id", "text", vocabulary(spark))
     return p7_pack.containers(sizes, table(spark, d, "container_spec")).withColumnRenamed("doc", "doc_id")
 
 

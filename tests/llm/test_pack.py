@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import base64
 import random
 
 import pytest
 from loomwork.llm import p7_pack as P
+from loomwork.llm import queries as Q
 
 SPEC = "container_type string, capacity_tokens int"
 
@@ -51,11 +53,28 @@ def test_sizes_of_zero_nulls_and_empty(spark):
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "a b-c"), (2, " "), (3, None), (None, "x"), (4, "数据 x1")], "id long, t string")
     assert {r.doc: r.size for r in P.token_counts(docs, "id", "t", None).collect()} == {1: 4, 4: 2}
-    pytest.importorskip("public_tokenizers")
-    import os
 
-    from loomwork.llm.queries import VOCABULARY
 
-    if os.path.exists(VOCABULARY):
-        got = {r.doc: r.size for r in P.token_counts(docs, "id", "t", VOCABULARY).collect()}
-        assert set(got) == {1, 4} and got[1] >= 3
+def test_vocabulary_is_never_left_out_silently(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, "a b-c"), (2, " "), (3, "a longer text, of some words")], "id long, t string")
+    with pytest.raises(FileNotFoundError):
+        P.token_counts(docs, "id", "t", str(tmp_path / "missing"))
+    monkeypatch.setattr(Q, "PACKAGE", "no_such_package")
+    with pytest.raises(LookupError):
+        Q.vocabulary(spark)
+    spark.conf.set(Q.VOCABULARY, "none")
+    assert Q.vocabulary(spark) is None
+    spark.conf.unset(Q.VOCABULARY)
+    ranks = tmp_path / "ranks"  # single bytes only: a token per byte
+    ranks.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)))
+    assert {r.doc: r.size for r in P.token_counts(docs, "id", "t", str(ranks)).collect()} == {1: 5, 3: 28}
+
+
+def test_many_types_are_filled_as_well_as_few(spark):
+    rnd = random.Random(7)
+    sizes = [(i, min(250, max(1, int(rnd.lognormvariate(4, 0.8))))) for i in range(2000)]
+    total = sum(s for _, s in sizes)
+    for kinds in (1, 20):
+        rows = run(spark, sizes, [(f"t{k}", 250) for k in range(kinds)], group=200)
+        for k in range(kinds):
+            assert len({r.container for r in rows if r.container_type == f"t{k}"}) <= 1.02 * total / 250 + 2
