@@ -2,18 +2,22 @@
 
 Every published row stores the source key and the version (content) it was made
 from. A run anti-joins the source against the target's current versions, writes
-the rows due into a fresh folder and publishes them by one atomic rename of a
-manifest. A run that dies before the rename leaves nothing behind that a reader
-sees; run again, it finds the same rows due.
+the rows due into a fresh folder and publishes them as one new version of the
+target, by creating the next numbered manifest, which must not exist. A run that
+dies before that leaves nothing behind that a reader sees; run again, it finds
+the same rows due.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +33,8 @@ TARGET = T.StructType(
         T.StructField("version", T.StringType()),
     ]
 )
+#: Seconds after which a manifest that was not finished is taken for that of a dead run.
+STALE = 600
 #: A list of runs larger than this does not belong on the driver.
 MOST_RUNS = 1_000_000
 
@@ -43,36 +49,47 @@ class Target:
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._at(f"{self.path}/manifest"))
 
-    def manifest(self) -> dict:
-        """The published state: version, data parts, last run taken in."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/manifest"))]
-        nos = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not nos:
-            return {"version": 0, "parts": [], "last_ix": -1}
-        stream = self._fs.open(self._at(f"{self.path}/manifest/{max(nos)}.json"))
+    def _text(self, no: int) -> dict | None:
+        """Manifest ``no``; None if it is not written to its end."""
+        stream = self._fs.open(self._at(f"{self.path}/manifest/{no}.json"))
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)
+        return json.loads(text) if text.endswith("}\n") else None
+
+    def manifest(self) -> dict:
+        """The published state: version, data parts, last run taken in."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/manifest"))]
+        for no in sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True):
+            if (state := self._text(no)) is not None:
+                return state
+        return {"version": 0, "parts": [], "last_ix": -1}
 
     def publish(self, rows: DataFrame, last_ix: int, base: dict | None = None) -> dict:
         """Write ``rows`` and make them part of the table in one step.
 
         Raises if another run published since ``base`` was read; nothing of
-        ``rows`` is then visible.
+        ``rows`` is then visible. A manifest that a dead run began and did not
+        finish is removed once it is STALE seconds old; until then it counts as
+        a run that publishes.
         """
         base = base or self.manifest()
         no = base["version"] + 1
-        part = work_path(self.spark, "part").rsplit("/", 1)[1]
+        part = f"part-{uuid.uuid4().hex[:12]}"
         rows.write.parquet(f"{self.path}/data/{part}")
         new = {"version": no, "parts": [*base["parts"], part], "last_ix": last_ix}
-        draft, final = (self._at(f"{self.path}/manifest/{x}") for x in (f"_{part}.tmp", f"{no}.json"))
-        out = self._fs.create(draft, True)
-        out.write(json.dumps(new).encode())
+        final = self._at(f"{self.path}/manifest/{no}.json")
+        if self._fs.exists(final) and self._text(no) is None and time.time() - self._fs.getFileStatus(final).getModificationTime() / 1000 > STALE:
+            self._fs.delete(final, False)
+        try:
+            out = self._fs.create(final, False)  # never overwrites: one of two runs gets the number
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {no} of {self.path} was published by another run") from e
+        out.write((json.dumps(new) + "\n").encode())
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"version {no} of {self.path} was published by another run")
+        if self._text(no) != new:
+            raise RuntimeError(f"version {no} of {self.path} was taken by another run")
         return new
 
     def read(self, state: dict | None = None) -> DataFrame:
@@ -81,10 +98,11 @@ class Target:
             return self.spark.createDataFrame([], TARGET)
         return self.spark.read.schema(TARGET).parquet(*[f"{self.path}/data/{p}" for p in parts])
 
-    def current(self, state: dict | None = None) -> DataFrame:
-        """Newest version of each key."""
+    def current(self, state: dict | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Newest version of each key, or of the keys (column file_key) that are asked for."""
+        rows = self.read(state)
         return (
-            self.read(state)
+            (rows if keys is None else rows.join(keys.select("file_key"), "file_key", "left_semi"))
             .groupBy("file_key")
             .agg(F.max(F.struct("run_ix", "version")).alias("s"))
             .select("file_key", F.col("s.version").alias("version"))
@@ -110,61 +128,54 @@ def successful_runs(runs: DataFrame) -> list[tuple]:
     return sorted((r["started_at"], r["run_no"]) for r in rows)
 
 
-def advance(target: Target, lines: DataFrame, runs: list[tuple], upto: int, state: dict | None = None) -> dict:
-    """Take the runs after the last published one, to index ``upto``, into the target.
+def lines_by_run(lines: DataFrame, runs: list[tuple]) -> DataFrame:
+    """The lines with the index (run_ix) of the first run that sees them, in a table by that index.
 
-    Of each key and run only the newest line counts. A version equal to the one
-    before it, in this batch or in the target, is not due: the rows are
-    anti-joined with the versions they follow, the first of a key with the
-    target's current version. Deliveries again, moved dates and failed runs in
-    between change nothing.
+    Lines after the last run wait for the next one and are left out.
     """
-    state = state or target.manifest()
-    first = state["last_ix"] + 1
-    starts = np.array([r[0] for r in runs[first : upto + 1]], dtype="datetime64[us]")
-    numbers = np.array([r[1] for r in runs[first : upto + 1]])
-    after = runs[first - 1][0] if first else None
+    starts = np.array([r[0] for r in runs], dtype="datetime64[us]")
 
     @F.pandas_udf(T.LongType())
     def run_index(at: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, at.to_numpy(dtype="datetime64[us]"), side="left"))
 
-    @F.pandas_udf(T.IntegerType())
-    def run_number(ix: pd.Series) -> pd.Series:
-        return pd.Series(numbers[ix.to_numpy()])
+    spark, path = lines.sparkSession, work_path(lines.sparkSession, "lines")
+    placed = lines.withColumn("run_ix", run_index("arrived_at")).filter(F.col("run_ix") < len(runs))
+    placed.repartition("run_ix", F.pmod(F.xxhash64("file_key"), F.lit(spark.sparkContext.defaultParallelism))).write.partitionBy("run_ix").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
 
-    fresh = lines.filter(F.col("arrived_at") <= F.to_timestamp_ntz(F.lit(str(runs[upto][0]))))
-    if after is not None:
-        fresh = fresh.filter(F.col("arrived_at") > F.to_timestamp_ntz(F.lit(str(after))))
-    w = Window.partitionBy("file_key").orderBy("ix")
+def advance(target: Target, lines: DataFrame, runs: list[tuple], ix: int, state: dict | None = None) -> dict:
+    """Take run ``ix`` into the target: one run, one new version of it.
+
+    Of each key among the run's new lines only the newest line counts. It is due
+    unless the target's current version of the key is the same, which the
+    anti-join removes. Deliveries again, moved dates and failed runs in between
+    change nothing. ``lines``: see lines_by_run.
+    """
+    state = state or target.manifest()
+    fresh = lines.filter(F.col("run_ix") == ix)
     newest = (
-        fresh.withColumn("ix", run_index("arrived_at"))
-        .groupBy("file_key", "ix")
+        fresh.groupBy("file_key")
         .agg(F.max(F.struct("arrived_at", "feed_id", "version")).alias("s"))
-        .select("file_key", "ix", F.col("s.version").alias("version"))
-        .withColumn("follows", F.lag("version").over(w))
-    )
-    held = target.current(state).withColumnRenamed("version", "held").withColumnRenamed("file_key", "k")
-    due = newest.filter("follows is null or follows <> version").join(
-        held,
-        F.col("follows").isNull() & (F.col("file_key") == F.col("k")) & (F.col("version") == F.col("held")),
-        "left_anti",
-    )
-    rows = due.select(
-        run_number("ix").alias("run_no"), (F.col("ix") + first).alias("run_ix"), "file_key", "version"
+        .select(F.lit(runs[ix][1]).cast("int").alias("run_no"), F.lit(ix).cast("long").alias("run_ix"), "file_key", F.col("s.version").alias("version"))
     )
-    return target.publish(rows, upto, state)
+    held = target.current(state, fresh) if state["parts"] else None
+    due = newest if held is None else newest.join(held, ["file_key", "version"], "left_anti")
+    return target.publish(due.select(*TARGET.names), ix, state)
 
 
-def replay(feed: DataFrame, runs: DataFrame, target: Target, batch: int = 24) -> DataFrame:
-    """Bring the target up to the last successful run and return its rows (run_no, file_key, version).
+def replay(feed: DataFrame, runs: DataFrame, target: Target, upto: int | None = None) -> DataFrame:
+    """Bring the target up to the last successful run (or to index ``upto``) and return its rows (run_no, file_key, version).
 
-    Runs are taken in batches; each batch is published atomically and starts
-    from what the target holds, so a replay that died goes on where it was.
+    Runs are taken one by one; each starts from what the target holds and
+    publishes one version of it, so a replay that died goes on where it was.
     No successful run or no lines: an empty target.
     """
-    lines, order = feed_lines(feed), successful_runs(runs)
-    state = target.manifest()
-    while state["last_ix"] < len(order) - 1:
-        state = advance(target, lines, order, min(state["last_ix"] + batch, len(order) - 1), state)
+    order, state = successful_runs(runs), target.manifest()
+    last = len(order) - 1 if upto is None else min(upto, len(order) - 1)
+    if state["last_ix"] < last:
+        lines = lines_by_run(feed_lines(feed), order)
+        while state["last_ix"] < last:
+            state = advance(target, lines, order, state["last_ix"] + 1, state)
     return target.read(state)

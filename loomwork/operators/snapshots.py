@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import content_id, file_key, says_deleted
+from ..session import stage
 
 
 def diff_states(before: DataFrame, after: DataFrame, keys: list[str], content: str) -> DataFrame:
@@ -92,9 +93,9 @@ def snapshot_changes(files: DataFrame, log: DataFrame) -> DataFrame:
     Result: repo_id, snapshot_no (the later one), file_key, change_kind.
     All pairs of snapshots go through one EXCEPT ALL each way: a state is
     labelled with its own number as "after" and with the next complete number
-    as "before".
+    as "before". The states are staged: they are read twice on either side.
     """
-    states = snapshot_states(files, log)
+    states = stage(snapshot_states(files, log), "states")
     after = states.filter("before_no is not null").select("repo_id", "snapshot_no", "file_key", "md5")
     before = states.filter("after_no is not null").select(
         "repo_id", F.col("after_no").alias("snapshot_no"), "file_key", "md5"

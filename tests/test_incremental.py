@@ -31,10 +31,14 @@ def brute(rows, runs):
 def test_against_brute_force(spark):
     rows = [("x", "AA", 1), ("x", "aa", 2), ("y", "bb", 2), ("x", None, 3), ("y", "cc", 4), ("y", "bb", 5), ("z", "dd", 9), ("x", "ee", 11)]
     runs = [(1, H[1], "success"), (2, H[2], "failed"), (3, H[3], "SUCCESS"), (4, H[5], "success"), (5, H[6], None), (6, H[10], "success")]
-    for batch in (1, 2, 10):
+    for stop in (None, 0, 2):
         target = inc.Target(spark, work_path(spark, "t"))
-        got = inc.replay(lines(spark, rows), spark.createDataFrame(runs, RUNS), target, batch)
+        if stop is not None:
+            inc.replay(lines(spark, rows), spark.createDataFrame(runs, RUNS), target, stop)
+            assert target.manifest()["last_ix"] == stop
+        got = inc.replay(lines(spark, rows), spark.createDataFrame(runs, RUNS), target)
         assert {(r.run_no, r.file_key) for r in got.collect()} == brute(rows, runs)
+        assert target.manifest()["version"] == 4  # one a run
 
 
 def test_a_failed_publish_shows_nothing_and_is_made_good(spark):
@@ -42,9 +46,10 @@ def test_a_failed_publish_shows_nothing_and_is_made_good(spark):
     target = inc.Target(spark, work_path(spark, "t"))
     order = inc.successful_runs(spark.createDataFrame(runs, RUNS))
     base = target.manifest()
-    inc.advance(target, inc.feed_lines(lines(spark, rows)), order, 0)
+    placed = inc.lines_by_run(inc.feed_lines(lines(spark, rows)), order)
+    inc.advance(target, placed, order, 0)
     with pytest.raises(RuntimeError):  # another run published since
-        inc.advance(target, inc.feed_lines(lines(spark, rows)), order, 1, base)
+        inc.advance(target, placed, order, 1, base)
     assert target.manifest()["version"] == 1 and target.read().count() == 1
     got = inc.replay(lines(spark, rows), spark.createDataFrame(runs, RUNS), target)
     assert {(r.run_no, r.file_key) for r in got.collect()} == {(1, "/a/x"), (2, "/a/y")}
@@ -55,3 +60,17 @@ def test_empty(spark):
     target = inc.Target(spark, work_path(spark, "t"))
     assert inc.replay(lines(spark, []), spark.createDataFrame([], RUNS), target).count() == 0
     assert inc.replay(lines(spark, []), spark.createDataFrame([(1, H[0], "success")], RUNS), target).count() == 0
+
+
+def test_a_manifest_that_was_not_finished(spark, monkeypatch):
+    rows, runs = [("x", "aa", 1)], [(1, H[2], "success")]
+    target = inc.Target(spark, work_path(spark, "t"))
+    out = target._fs.create(target._at(f"{target.path}/manifest/1.json"), False)
+    out.write(b'{"version": 1, "par')
+    out.close()
+    assert target.manifest()["version"] == 0 and target.read().count() == 0
+    again = lambda: inc.replay(lines(spark, rows), spark.createDataFrame(runs, RUNS), target)
+    with pytest.raises(RuntimeError):
+        again()
+    monkeypatch.setattr(inc, "STALE", -1)
+    assert again().count() == 1
