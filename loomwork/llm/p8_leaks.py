@@ -1,33 +1,38 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index and offset intersection.
 
-The corpus is indexed once: a row per word with its document and position,
-stored by term in the shared folder, hot terms spread over salts. A test item
-is looked up through its rarest terms: windows of four neighbouring words are
-chosen so that every stretch of half the item holds one whole window. As only
-single words may be replaced, two words of the window then stand in any
-matching document at the same offset. The candidates (document, item, offset)
-that have two such words are verified on the posting lists of all the item's
-terms. Items of up to six words have windows of half their words; of one or two
-words, a single one must stand there.
+The corpus is indexed once, in the shared folder: a row per word with its
+document and position, in shards of documents and sorted by term within them, so
+that no term is one task's however frequent it is; and beside it the words of
+each document. A test item is looked up through its rarest terms: windows of
+four neighbouring words are chosen so that every stretch of half the item holds
+one whole window. As only single words may be replaced, two words of the window
+then stand in any matching document at the same offset. Only the postings of
+the windows' terms are read. The candidates (document, item, offset) that have
+two such words are verified on the words of the document. Items of up to six
+words have windows of half their words; of one or two words, a single one must
+stand there.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import bounded
 from ..session import stage, work_path
 
-#: Terms are spread over this many salts by document, so that no term is one task's.
-SALTS = 16
 #: Only items without words take no part.
 LEAST_WORDS = 1
-#: Words of a window at most; a list of terms up to this many rows is broadcast, a longer one is shuffled.
-WINDOW, MOST_TERMS = 4, 200_000
-MARKUP = r"<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,8};"
+#: Words of a window at most.
+WINDOW = 4
+#: Rows of a block of query terms: each block is broadcast to the index, and a set of items may have any number of blocks.
+BLOCK = 200_000
+#: Declarations, comments and tags (a name, then nothing, one word or attributes with values), and entities.
+MARKUP = r"<[!?][^<>]*>|</?[A-Za-z][\w:.-]*(?=[^<>]*>)(?:\s[^<>=]*=[^<>]*|(?:\s+[\w:.-]+)?\s*/?)>|&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def words(text: str) -> F.Column:
@@ -36,38 +41,48 @@ def words(text: str) -> F.Column:
 
 
 class PositionalIndex:
-    """Postings of a corpus in the shared folder: term, doc, pos, placed and sorted by term."""
+    """Postings of a corpus in the shared folder: term (a hash of the word), doc, pos; and the words of each document."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str, text: str, path: str | None = None) -> PositionalIndex:
-        """Index every word of every document; null texts have none. One shuffle, by term and salt."""
+        """Index every word of every document; null texts have none.
+
+        No shuffle: a shard is what one task reads, sorted by term. Documents
+        keep their place, and a term its shards.
+        """
         spark = docs.sparkSession
         index = cls(spark, path or work_path(spark, "postings"))
+        docs.select(F.col(doc_id).cast("long").alias("doc"), words(text).alias("w")).filter("size(w) > 0").write.parquet(f"{index.path}/words")
         (
-            docs.select(F.col(doc_id).cast("long").alias("doc"), words(text).alias("w"))
+            index.words()
             .select("doc", F.posexplode("w").alias("pos", "term"))
-            .repartition("term", F.pmod("doc", F.lit(SALTS)))
-            .sortWithinPartitions("term", "doc", "pos")
+            .select(F.xxhash64("term").alias("term"), "doc", "pos")
+            .sortWithinPartitions("term")
             .write.parquet(f"{index.path}/postings")
         )
         return index
 
+    def words(self) -> DataFrame:
+        """doc, w: the words of each document that has some."""
+        return self.spark.read.schema("doc long, w array<string>").parquet(f"{self.path}/words")
+
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """All postings, or those of some terms (column term)."""
-        got = self.spark.read.parquet(f"{self.path}/postings")
+        """All postings, or those of some terms with the columns of ``terms`` (term and others; staged), block by block."""
+        got = self.spark.read.schema("term long, doc long, pos int").parquet(f"{self.path}/postings")
         if terms is None:
             return got
-        wanted = terms.select("term").distinct()
-        return got.join(F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted, "term", "left_semi")
+        blocks = max(1, math.ceil(terms.count() / BLOCK))
+        own = F.pmod(F.hash(*terms.columns), F.lit(blocks))
+        return reduce(DataFrame.union, (got.join(F.broadcast(terms.filter(own == b)), "term") for b in range(blocks)))
 
 
 def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    """item, n, q, term: each word of each passage of at least LEAST_WORDS words."""
+    """item, n, q, word: each word of each passage of at least LEAST_WORDS words."""
     w = items.select(F.col(item_id).cast("long").alias("item"), words(passage).alias("w")).dropDuplicates(["item"])
-    return w.filter(F.size("w") >= LEAST_WORDS).select("item", F.size("w").alias("n"), F.posexplode("w").alias("q", "term"))
+    return w.filter(F.size("w") >= LEAST_WORDS).select("item", F.size("w").alias("n"), F.posexplode("w").alias("q", "word"))
 
 
 def _anchors(g: pd.DataFrame) -> pd.DataFrame:
@@ -105,32 +120,21 @@ def matches(index: PositionalIndex, items: DataFrame, item_id: str, passage: str
     phrase. ``words`` is the length of the longest stretch, ``of`` that of the
     item. Documents and items without words have no rows.
     """
-    terms = item_words(items, item_id, passage)
-    postings = stage(index.postings(terms), "asked")
-    uses = postings.groupBy("term").agg(F.count("*").alias("uses"))
-    anchors = terms.join(uses, "term", "left").groupBy("item").applyInPandas(_anchors, "item long, win int, need int, q int, term string")
-    cand = stage(
-        postings.join(anchors, "term")
-        .groupBy("item", "doc", (F.col("pos") - F.col("q")).alias("off"), "win")
-        .agg(F.count("*").alias("n"), F.max("need").alias("need"))
-        .filter("n >= need")
-        .select("item", "doc", "off")
-        .distinct(),
-        "candidates",
-    )
-    hits = (
-        cand.join(terms, "item")
-        .withColumn("pos", F.col("off") + F.col("q"))
-        .join(postings.join(cand.select("doc").distinct(), "doc", "left_semi"), ["term", "doc", "pos"])
-        .select("item", "doc", "off", "n", "q")
-    )
-    w = Window.partitionBy("item", "doc", "off").orderBy("q")
-    runs = (
-        hits.withColumn("new", F.coalesce((F.col("q") - F.lag("q").over(w) > gap).cast("int"), F.lit(1)))
-        .withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("item", "doc", "off", "run", "n")
-        .agg((F.max("q") - F.min("q") + 1).alias("words"))
-    )
-    return (
-        runs.groupBy("doc", "item").agg(F.max("words").alias("words"), F.first("n").alias("of")).filter(F.col("words") >= F.col("of") * F.lit(share))
+    terms = stage(item_words(items, item_id, passage).withColumn("term", F.xxhash64("word")), "terms")
+    uses = index.postings(stage(terms.select("term").distinct(), "asked")).groupBy("term").agg(F.count("*").alias("uses"))
+    anchors = stage(
+        terms.join(uses.hint("merge"), "term", "left").groupBy("item").applyInPandas(_anchors, "item long, win int, need int, q int, term long"),
+        "anchors",
     )
+    met = index.postings(anchors).groupBy("item", "doc", (F.col("pos") - F.col("q")).alias("off"), "win")
+    met = met.agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
+    cand = stage(met.groupBy("item", "doc").agg(F.collect_set("off").alias("offs")), "candidates")
+    passages = stage(terms.groupBy("item").agg(F.max("n").alias("n"), F.expr("transform(array_sort(collect_list(struct(q, word))), x -> x.word)").alias("p")), "passages")
+    asked = index.words().join(bounded(stage(cand.select("doc").distinct(), "documents")), "doc", "left_semi")
+    both = cand.join(asked.hint("merge"), "doc").join(bounded(passages), "item")
+    longest = f"""aggregate(sequence(0, n - 1), named_struct('from', -1, 'last', -1000, 'best', 0),
+        (s, q) -> CASE WHEN p[q] = get(w, off + q) THEN named_struct(
+            'from', CASE WHEN q - s.last > {int(gap)} THEN q ELSE s.from END, 'last', q,
+            'best', greatest(s.best, q - CASE WHEN q - s.last > {int(gap)} THEN q ELSE s.from END + 1)) ELSE s END, s -> s.best)"""
+    found = both.select("doc", "item", F.expr(f"array_max(transform(offs, off -> {longest}))").alias("words"), F.col("n").alias("of"))
+    return found.filter(F.col("words") >= F.col("of") * F.lit(share))

@@ -9,7 +9,7 @@ V = [f"word{i}" for i in range(300)]
 
 
 def words(t):
-    return re.findall(r"[^\W_]+", re.sub(r"<[^<>]{1,200}>|&#?\w{1,8};", " ", t).lower())
+    return re.findall(r"[^\W_]+", re.sub(r"</?[a-z]+(?: [a-z]+=[^<>]*)?>|&\w+;", " ", t).lower())
 
 
 def brute(docs, items, gap=2):
@@ -18,7 +18,7 @@ def brute(docs, items, gap=2):
         w = words(t or "")
         for i, p in items:
             q = words(p or "")
-            if len(q) < L.LEAST_WORDS:
+            if not q:
                 continue
             for off in range(-len(q), len(w)):
                 hit = [k for k in range(len(q)) if 0 <= off + k < len(w) and w[off + k] == q[k]]
@@ -78,11 +78,20 @@ def test_items_of_any_length(spark, monkeypatch):
     docs = [(d, " ".join(rnd.choice(V[:50]) for _ in range(rnd.randint(0, 30)))) for d in range(60)]
     for i, p in items:  # whole, and with every second word replaced
         docs += [(100 + i, f"zzz {p} zzz"), (200 + i, " ".join("zzz" if k % 2 else x for k, x in enumerate(p.split())))]
-    with monkeypatch.context() as m:
-        m.setattr(L, "LEAST_WORDS", 0)
-        want = {gap: brute(docs, items, gap) for gap in (2, 1)}
+    monkeypatch.setattr(L, "BLOCK", 7)  # many blocks of query terms
+    want = {gap: brute(docs, items, gap) for gap in (2, 1)}
     index = L.PositionalIndex.build(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
     for gap in (2, 1):
         got = L.matches(index, spark.createDataFrame(items, "item_id long, passage string"), "item_id", "passage", gap).collect()
         assert {(r.doc, r.item) for r in got} == want[gap]
         assert {i for d, i in want[gap] if d == 100 + i} == set(range(42))
+
+
+def test_markup_of_any_length(spark):
+    long_tag = '<a href="https://example.org/' + "x/" * 400 + '" title="some words">'
+    p = " ".join(V[:20])
+    texts = [p.replace(V[9], f"{long_tag}{V[9]}</a>"), p.replace(V[9], f"{V[9]}&CounterClockwiseContourIntegral;<br/>"), f"if a <b and {p} ... c> d", f"x < {p} > y", p.replace(V[5], f"<!-- {'note ' * 90}-->{V[5]}")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    items = spark.createDataFrame([(1, p)], "i long, p string")
+    got = {r.doc: r.words for r in L.matches(L.PositionalIndex.build(docs, "d", "t"), items, "i", "p").collect()}
+    assert got == dict.fromkeys(range(5), 20)
