@@ -42,3 +42,16 @@ def test_open_fence_long_text_and_rates(spark):
     assert got[1] and not got[2] and not got[3] and 4 not in got
     assert {(r.source, r.texts, r.cut_texts) for r in p9_cut.rates(j).collect()} == {("s", 2, 1), (None, 1, 0)}
     assert p9_cut.judged(df.limit(0), "id", "text", "source").count() == 0
+
+
+def test_open_code_long_tags_and_long_words(spark):
+    rnd = random.Random(8)
+    code = lambda n: "```sql\n" + "\n".join(f"select c{rnd.randrange(9)} from t{rnd.randrange(9)};" for _ in range(n))
+    rows = [(i, f"{text(rnd)}\n\n{code(3)}\n```\n{rnd.choice(['', text(rnd)])}") for i in range(80)]
+    rows += [(100 + i, f"{text(rnd)}\n\n{code(2)}") for i in range(4)]  # ends within the code
+    rows += [(200, f"{text(rnd)}\n```"), (201, f"{text(rnd)} <a href='{'x/' * 300}' title='t'>{text(rnd)}</a>")]
+    long = "y" * 300
+    rows += [(300 + i, f"We call it {long}abc every night.") for i in range(30)] + [(400, f"We call it {long}"), (401, f"We call it {long}abc")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "id long, text string, source string")
+    cut = {r.id for r in p9_cut.judged(df, "id", "text", "source").collect() if r.cut}
+    assert cut == {*range(100, 104), 200, 400, 401}
