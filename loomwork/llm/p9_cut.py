@@ -28,30 +28,30 @@ ENDS, EVIDENCE, WHOLE = 0.02, 3, 0.1
 FENCE, CODE = "\ue000", "\ue001"
 
 #: Declarations, comments and tags (a name, then nothing, one word or attributes with values).
-_TAG = r"<[!?][^<>]*>|</?[a-z][\w:.-]*(?=[^<>]*>)(?:\s[^<>=]*=[^<>]*|(?:\s+[\w:.-]+)?\s*/?)>"
+_TAG = r"<(?:[!?][^<>]*|/?[a-z][\w:.-]*(?=[^<>]*>)(?:\s[^<>=]*=[^<>]*|(?:\s+[\w:.-]+)?\s*/?))>"
 
-_PARTS = r"r'https?://[^\s<>()\"`\x27]*|[¶§]|\p{IsHan}|[\p{L}\p{N}_&&[^\p{IsHan}]]+'"
+_PARTS = r"r'https?://[^\s<>()\"`\x27]*|[¶§]|\p{IsHan}|[a-z0-9_[\p{L}\p{N}&&[^\p{IsHan}]]]+'"
 
 #: Text to words, every number 0; ¶ marks the end of a sentence or paragraph, § that of a block (fence, closing tag).
 _WORDS = rf"""
 SELECT id, source, CASE WHEN NOT fenced THEN regexp_extract_all(body, {_PARTS}, 0) ELSE flatten(transform(split(body, '{FENCE}'), (s, i) -> CASE
     WHEN i % 2 = 1 THEN concat(array('§', '{CODE}```'), transform(filter(regexp_extract_all(s, {_PARTS}, 0), x -> x NOT IN ('¶', '§')), x -> concat('{CODE}', x)))
     WHEN i > 0 THEN concat(array('§'), regexp_extract_all(s, {_PARTS}, 0))
-    ELSE regexp_extract_all(s, {_PARTS}, 0) END)) END AS w, fenced, regexp_extract(body, r'[^\p{{L}}\p{{N}}_]*$', 0) AS tail
+    ELSE regexp_extract_all(s, {_PARTS}, 0) END)) END AS w
 FROM (
   SELECT id, source, contains(low, '```') AS fenced, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(low, '[0-9]+(?:[.,:][0-9]+)*', '0'),
       r'```[a-z]*', '{FENCE}'),
       r'</(?:p|pre|code|li|ul|ol|div|h[1-6]|blockquote)>', ' § '),
       r'{_TAG}', ' '),
       r'(?:[.?!…:])+(?=[\s"*)_`\x27¶§{FENCE}]|$)|[。！？…]+|[.?!]+(?=\p{{IsHan}})|\n\s*\n', ' ¶ ') AS body
-  FROM (SELECT id, source, lower(regexp_replace(translate(text, '¶§{FENCE}{CODE}', '    '), r'(?:\[(?:[.]{{3}}|…)\]|[.]{{3}}|…|\s)+$', '')) AS low
-        FROM {{docs}} WHERE text RLIKE r'\S'))"""
+  FROM (SELECT id, source, lower(CASE WHEN right(text, 3) RLIKE r'(?:\s|…|[.]{{3}}|[.…]\])$' THEN regexp_replace(text, r'(?:\[(?:[.]{{3}}|…)\]|[.]{{3}}|…|\s)+$', '') ELSE text END) AS low
+        FROM (SELECT id, source, CASE WHEN text RLIKE '[¶§{FENCE}{CODE}]' THEN translate(text, '¶§{FENCE}{CODE}', '    ') ELSE text END AS text
+        FROM {{docs}} WHERE text RLIKE r'\S')))"""
 
 #: The place of the final word, and whether a block ends after it.
 _PLACED = """
-SELECT id, source, w, z, CASE WHEN fenced THEN array_contains(slice(w, z + 2, size(w)), '§') ELSE contains(tail, '§') END AS closed FROM (
-  SELECT *, CASE WHEN fenced THEN CAST(size(w) - array_position(transform(reverse(w), x -> x IN ('¶', '§')), false) AS INT)
-                 ELSE size(w) - 1 - regexp_count(tail, '[¶§]') END AS z FROM {words})"""
+SELECT id, source, w, z, array_contains(slice(w, z + 2, size(w)), '§') AS closed FROM (
+  SELECT *, CAST(coalesce(size(w) - nullif(array_position(transform(reverse(w), x -> x IN ('¶', '§')), false), 0), -1) AS INT) AS z FROM {words})"""
 
 #: Words with their classes (links become shapes, names with underscores x_x).
 _CLASSED = rf"""
@@ -66,10 +66,11 @@ _SHOWN = """CASE WHEN b IN ('¶', '§') THEN '¶' ELSE replace(a, '§', '¶') EN
   CASE WHEN contains(c, 'http') AND contains(c, '://') THEN c ELSE x END AS raw"""
 _STOPS = f"coalesce(next IN ('¶', '§'), false) AND NOT startswith(c, '{CODE}')"
 
-#: One row per word: its trigram, and what follows (last: it is the text's final word; stop: a mark).
+#: One row per word: its trigram, and what follows (stop: a mark; last: the text's end; own: it is the text's final word).
+#: The final word of code that is closed goes on to the closing fence.
 _TRIGRAMS = f"""
-SELECT {_SHOWN}, {_STOPS} AS stop, pos = z AS last FROM (
-  SELECT z, t.* FROM {{classed}}
+SELECT {_SHOWN}, {_STOPS} AS stop, pos = z AS own, pos = z AND NOT (closed AND startswith(c, '{CODE}')) AS last FROM (
+  SELECT z, closed, t.* FROM {{classed}}
   LATERAL VIEW inline(arrays_zip(concat(array('^', '^'), k), concat(array('^'), k), k, w, slice(k, 2, size(k)), sequence(0, size(k) - 1))) t AS a, b, c, x, next, pos)
 WHERE c IS NOT NULL AND c NOT IN ('¶', '§')"""
 
@@ -80,19 +81,19 @@ SELECT id, source, closed, stop, struct(a, b, c, raw) AS t FROM (
     SELECT id, source, closed, coalesce(get(k, z - 2), '^') AS a, coalesce(get(k, z - 1), '^') AS b, k[z] AS c, w[z] AS x, get(k, z + 1) AS next
     FROM {{classed}} WHERE z >= 0))"""
 
-#: Per trigram and spelling: occurrences that go on, that end within a text, and that end a text.
+#: Per trigram and spelling: occurrences that go on, that end within a text, that end a text, and that are final words.
 _COUNTS = """
-SELECT a, b, c, raw, count_if(NOT last AND NOT stop) AS goes_on, count_if(NOT last AND stop) AS ends, count_if(last) AS finals
+SELECT a, b, c, raw, count_if(NOT last AND NOT stop) AS goes_on, count_if(NOT last AND stop) AS ends, count_if(last) AS finals, count_if(own) AS own
 FROM {trigrams} GROUP BY a, b, c, raw"""
 
 #: Evidence for the distinct final words after the same {key}: what the same class of word does elsewhere (finals:
 #: other texts), and the uses of longer words of which the final word is the beginning (beginnings as long as some final word).
 _LEVEL = """
-WITH f AS (SELECT {key}c, raw, sum(finals) AS own FROM {counts} GROUP BY {key}c, raw HAVING sum(finals) > 0),
+WITH f AS (SELECT {key}c, raw, sum(own) AS own FROM {counts} GROUP BY {key}c, raw HAVING sum(own) > 0),
 same AS (SELECT {key}c, sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) AS finals FROM {counts} GROUP BY {key}c),
 pieces AS (SELECT {key}raw, sum(goes_on + ends) AS uses FROM {counts} GROUP BY {key}raw),
 longer AS (SELECT {key}substr(raw, 1, n) AS raw, sum(uses) AS longer
-  FROM (SELECT *, (SELECT collect_set(length(raw)) FROM {counts} WHERE finals > 0) AS lengths FROM pieces WHERE length(raw) > 1 AND uses > 0)
+  FROM (SELECT *, (SELECT collect_set(length(raw)) FROM {counts} WHERE own > 0) AS lengths FROM pieces WHERE length(raw) > 1 AND uses > 0)
   LATERAL VIEW explode(filter(lengths, n -> n < length(raw))) AS n GROUP BY {key}substr(raw, 1, n))
 SELECT /*+ MERGE(f, same, longer, pieces) */ f.*, same.goes_on, same.ends, same.finals - 1 AS finals, coalesce(longer.longer, 0) AS longer, coalesce(pieces.uses, 0) AS uses
 FROM f JOIN same USING ({key}c) LEFT JOIN longer USING ({key}raw) LEFT JOIN pieces USING ({key}raw)"""
@@ -112,9 +113,9 @@ SELECT struct(a, b, c, raw) AS t, n, l3.goes_on, l3.ends, l3.finals, l3.longer,
   coalesce(CASE {_PIECE} {_BY_COUNTS} END, false) AS mid,
   coalesce(CASE {_PIECE} WHEN NOT CASE {_ends_rarely("l1")} ELSE false END THEN false {_BY_COUNTS} END, false) AS after_stop -- does the word end sentences
 FROM (
-  SELECT /*+ MERGE(x, y, z) */ f.a, f.b, f.c, f.raw, f.finals AS n, struct(x.*) AS l3, struct(y.*) AS l2, struct(z.*) AS l1,
+  SELECT /*+ MERGE(x, y, z) */ f.a, f.b, f.c, f.raw, f.own AS n, struct(x.*) AS l3, struct(y.*) AS l2, struct(z.*) AS l1,
     (SELECT struct(sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) - 1 AS finals, 0 AS longer) FROM {{counts}} WHERE startswith(c, '{CODE}')) AS code
-  FROM (SELECT * FROM {{counts}} WHERE finals > 0) f
+  FROM (SELECT * FROM {{counts}} WHERE own > 0) f
   LEFT JOIN {{l3}} x ON f.a = x.a AND f.b = x.b AND f.c = x.c AND f.raw = x.raw
   LEFT JOIN {{l2}} y ON f.b = y.b AND f.c = y.c AND f.raw = y.raw
   LEFT JOIN {{l1}} z ON f.c = z.c AND f.raw = z.raw)"""
