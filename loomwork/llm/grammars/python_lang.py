@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from ..peg import Grammar, LexError, Token
 
@@ -41,13 +42,20 @@ compound <- function_def / if_stmt / class_def / with_stmt / for_stmt / try_stmt
 block <- NEWLINE INDENT stmt+ DEDENT / simple_stmts
 %decorators <- ('@' named NEWLINE)+
 function_def <- decorators? 'async'? 'def' NAME type_params? '(' params? ')' ('->' expr)? ':' block
-class_def <- decorators? 'class' NAME type_params? ('(' args? ')')? ':' block
+class_def <- decorators? 'class' NAME type_params? ('(' phases? ')')? ':' block
 %type_params <- '[' type_param (',' type_param)* ','? ']'
 %type_param <- ('**' / '*')? NAME (':' expr)? ('=' expr)?
-%params <- param (',' param)* ','?
-%param <- '**' NAME (':' expr)? / '*' NAME (':' star_expr)? / '*' &',' / '/' / NAME (':' expr)? ('=' expr)?
-%lambda_params <- lambda_param (',' lambda_param)* ','?
-%lambda_param <- '**' NAME / '*' NAME / '*' &',' / '/' / NAME ('=' expr)?
+%params <- (front (',' star_params)? / star_params) ','?
+%front <- plain (',' plain)* (',' '/' (',' plain)* (',' preset)* / (',' preset)+ (',' '/' (',' preset)*)?)? / preset (',' preset)* (',' '/' (',' preset)*)?
+%plain <- NAME (':' expr)? !'='
+%preset <- NAME (':' expr)? '=' expr
+%star_params <- ('*' NAME (':' star_expr)? / '*' &(',' NAME)) (',' NAME (':' expr)? ('=' expr)?)* (',' rest_param)? / rest_param
+%rest_param <- '**' NAME (':' expr)?
+%lambda_params <- (lambda_front (',' lambda_star)? / lambda_star) ','?
+%lambda_front <- lambda_plain (',' lambda_plain)* (',' '/' (',' lambda_plain)* (',' lambda_preset)* / (',' lambda_preset)+ (',' '/' (',' lambda_preset)*)?)? / lambda_preset (',' lambda_preset)* (',' '/' (',' lambda_preset)*)?
+%lambda_plain <- NAME !'='
+%lambda_preset <- NAME '=' expr
+%lambda_star <- ('*' NAME / '*' &(',' NAME)) (',' NAME ('=' expr)?)* (',' '**' NAME)? / '**' NAME
 %if_stmt <- 'if' named ':' block ('elif' named ':' block)* else_block?
 %else_block <- 'else' ':' block
 %while_stmt <- 'while' named ':' block else_block?
@@ -76,7 +84,7 @@ bitor <- unary (binary unary)*
 %unary <- ('+' / '-' / '~')* 'await'? primary
 primary <- atom trailer*
 trailer <- '.' NAME / '(' args? ')' / '[' slices ']'
-atom <- NAME / NUMBER / STRING+ / 'True' / 'False' / 'None' / '...' / paren / list_atom / brace
+atom <- NAME / NUMBER / (STRING / formatted)+ !BYTES / BYTES+ !(STRING / FSTART) / 'True' / 'False' / 'None' / '...' / paren / list_atom / brace
 %paren <- '(' (yield_expr / named comp / star_named (',' star_named)* ','?)? ')'
 %list_atom <- '[' (named comp / star_named (',' star_named)* ','?)? ']'
 %star_named <- '*' bitor / named
@@ -85,8 +93,13 @@ atom <- NAME / NUMBER / STRING+ / 'True' / 'False' / 'None' / '...' / paren / li
 %pair_or <- '**' bitor / pair
 %comp <- ('async'? 'for' targets 'in' disj ('if' disj_or_lambda)*)+
 %disj_or_lambda <- NAME ':=' expr / disj / 'lambda' lambda_params? ':' expr
-args <- arg (',' arg)* ','?
-%arg <- NAME '=' expr / '**' expr / '*' expr / named comp?
+%formatted <- FSTART field* FEND
+field <- '{' (yield_expr / star_exprs) '='? ('!' ('r' / 's' / 'a'))? (':' field*)? '}'
+args <- named comp &')' / phases
+phases <- (positional (',' positional)* (',' keyword)* (',' last_keyword)* / keyword (',' keyword)* (',' last_keyword)* / last_keyword (',' last_keyword)*) ','?
+%positional <- '*' expr / !(NAME '=') named
+%keyword <- NAME '=' expr / '*' expr
+%last_keyword <- NAME '=' expr / '**' expr
 slices <- slice (',' slice)* ','?
 %slice <- expr? ':' expr? (':' expr?)? / '*' bitor / named
 """)
@@ -113,40 +126,77 @@ _INDENT = re.compile(r"[ \t\f]*")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
-def _fstring_end(text: str, at: int, quote: str) -> int:
-    """End of a formatted string whose fields may hold strings with the same quotes; -1 if it has none."""
-    while at < len(text):
-        if text.startswith(quote, at):
-            return at + len(quote)
-        c = text[at]
-        if c == "\\":
-            at += 2
-        elif c in "\r\n" and len(quote) == 1:
-            return -1
-        elif c == "{" and not text.startswith("{{", at):
-            depth, at = 1, at + 1
-            while at < len(text) and depth:
-                c = text[at]
-                if c in "'\"":
-                    q = c * 3 if text.startswith(c * 3, at) and len(quote) < 3 else c
-                    if q == quote or (len(q) == 1 and len(quote) == 3 and text.startswith(quote, at)):
-                        return -1
-                    m = _BODY[q].match(text, at + len(q))
-                    if not m:
-                        return -1
-                    at = m.end()
-                    continue
-                depth += (c in "{([") - (c in "})]")
-                if c in "\r\n" and len(quote) == 1:
-                    return -1
-                at += 1
-        else:
-            at += 2 if text.startswith(("{{", "}}"), at) else 1
-    return -1
+_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{(?P<name>[^}]+)\}|[\s\S])")
+#: What stands in the brackets that are open for a field of a formatted string, and for one within a field's format.
+FIELD, NESTED = "field", "nested"
+
+
+def _part(quote: str, escapes: bool) -> re.Pattern:
+    """What goes on to the next field or the end of a formatted string; without escapes, of a field's format."""
+    q, lines = quote[0], "" if len(quote) == 3 else r"\r\n"
+    inner = rf"|{q}(?!{q}{q})" if len(quote) == 3 else ""
+    if not escapes:
+        return re.compile(rf"(?:[^{q}{{}}{lines}]{inner})*")
+    return re.compile(rf"(?:[^{q}\\{{}}{lines}]|\\N\{{[^}}'\"]+\}}|\\(?:\r\n|[^{{}}])|\\(?=[{{}}])|\{{\{{|\}}\}}{inner})*")
+
+
+_LITERAL = {q: _part(q, True) for q in _BODY}
+_FORMAT = {q: _part(q, False) for q in _BODY}
+
+
+def _check_escapes(text: str, start: int, end: int, is_bytes: bool) -> None:
+    """Raises where a literal has an escape that is cut short or names no character."""
+    for m in _ESCAPE.finditer(text, start, end):
+        kind = m[0][1]
+        if is_bytes and kind in "uUN":
+            continue
+        if kind in "xuUN" and len(m[0]) == 2:
+            raise LexError(m.start(), "bad escape")
+        if m["name"]:
+            try:
+                unicodedata.lookup(m["name"])
+            except KeyError:
+                raise LexError(m.start(), "unknown character name") from None
+
+
+def _literal(text: str, at: int, inside: list, open_: list, out: list[Token]) -> int:
+    """Goes over a literal part of the innermost formatted string, into its next field or past its end."""
+    quote, raw, start = inside[-1]
+    m = _LITERAL[quote].match(text, at)
+    at = m.end()
+    if not raw and "\\" in m[0]:
+        _check_escapes(text, m.start(), at, False)
+    if text.startswith(quote, at):
+        out.append(Token("FEND", "", at))
+        inside.pop()
+        return at + len(quote)
+    if text.startswith("{", at):
+        return _field(FIELD, at, open_, out)
+    raise LexError(at if text.startswith("}", at) else start, "single '}'" if text.startswith("}", at) else "unterminated string", at >= len(text))
+
+
+def _format(text: str, at: int, inside: list, open_: list, out: list[Token]) -> int:
+    """Goes over the format of a field, into a field within it or past the end of the field it belongs to."""
+    quote, _, start = inside[-1]
+    at = _FORMAT[quote].match(text, at).end()
+    if text.startswith("{", at):
+        return _field(NESTED, at, open_, out)
+    if not text.startswith("}", at):
+        raise LexError(start, "field without its end", at >= len(text))
+    out.append(Token("OP", "}", at))
+    return (_literal if open_.pop()[0] == FIELD else _format)(text, at + 1, inside, open_, out)
+
+
+def _field(kind: str, at: int, open_: list, out: list[Token]) -> int:
+    out.append(Token("OP", "{", at))
+    open_.append((kind, at))
+    return at + 1
 
 
 def tokens(text: str) -> list[Token]:
+    """Formatted strings become FSTART, the tokens of their fields in braces, and FEND; literal parts give no tokens."""
     out: list[Token] = []
+    inside: list[tuple[str, bool, int]] = []  # open formatted strings: quote, raw, place
     at, indents, open_, fresh, n = 1 if text.startswith("﻿") else 0, [0], [], True, len(text)
     if "\0" in text:
         raise LexError(text.index("\0"), "null character")
@@ -166,6 +216,14 @@ def tokens(text: str) -> list[Token]:
                     raise LexError(at, "indentation that fits no block")
             fresh = False
             continue
+        if open_ and open_[-1][0] in (FIELD, NESTED) and text[at] in ":!}" and not text.startswith("!=", at):
+            out.append(Token("OP", text[at], at))
+            at += 1
+            if text[at - 1] == ":":
+                at = _format(text, at, inside, open_, out)
+            elif text[at - 1] == "}":
+                at = (_literal if open_.pop()[0] == FIELD else _format)(text, at, inside, open_, out)
+            continue
         m = _TOKEN.match(text, at)
         if not m:
             raise LexError(at, "bad character")
@@ -176,15 +234,21 @@ def tokens(text: str) -> list[Token]:
                     out.append(Token("NEWLINE", "", at))
                 fresh = True
         elif kind == "str":
-            quote = t.lstrip("rRbBfFuU")
+            quote, marks = t.lstrip("rRbBfFuU"), t.rstrip("\"'").lower()
+            if "f" in marks:
+                out.append(Token("FSTART", "", at))
+                inside.append((quote, "r" in marks, at))
+                at = _literal(text, m.end(), inside, open_, out)
+                continue
             body = _BODY[quote].match(text, m.end())
-            end = body.end() if body else -1
-            if "f" in t.lower() and (end < 0 or text.count("{", m.end(), end) != text.count("}", m.end(), end)):
-                end = max(end, _fstring_end(text, m.end(), quote))
-            if end < 0:
+            if not body:
                 raise LexError(at, "unterminated string", True)
-            out.append(Token("STRING", "", at))
-            at = end
+            if "b" in marks and not body[0].isascii():
+                raise LexError(at, "bytes that are not ASCII")
+            if "r" not in marks and "\\" in body[0]:
+                _check_escapes(text, body.start(), body.end(), "b" in marks)
+            out.append(Token("BYTES" if "b" in marks else "STRING", "", at))
+            at = body.end()
             continue
         elif kind == "NAME":
             out.append(Token("KEY" if t in KEYWORDS else "NAME", t, at))

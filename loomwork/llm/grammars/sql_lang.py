@@ -128,7 +128,8 @@ utility <- drop / alter / truncate / 'set' rest? / 'use' (('catalog' / 'schema'
   / 'comment' 'on' ('table' / 'column' / 'view' / 'database' / 'schema' / 'role' / 'materialized' 'view' / 'function') qname 'is' (STRING / 'null') / 'lock' ('table' / 'tables' / 'database') qname partition? rest? / 'unlock' ('table' / 'tables' / 'database') (qname partition?)? / 'reload' ('function' / 'functions') / 'begin' ('transaction' / 'work')? / ('commit' / 'rollback') ('transaction' / 'work')? / 'start' 'transaction' rest?
   / 'declare' ('or' 'replace')? 'variable'? declared / 'restore' 'table'? qname 'to' rest / 'kill' 'query' STRING (',' STRING)* / 'prepare' ident 'from' statement / 'execute' ('immediate' rest / ident ('using' exprs)?) / 'deallocate' 'prepare' ident
 %declared <- ident (('default' / '=') expr / type (('default' / '=') expr)?)
-%show <- 'create' ('table' / 'view' / 'schema' / 'database' / 'function' / 'materialized' 'view') qname ('as' 'serde')? / ('partitions' / 'tblproperties') qname rest? / 'columns' ('from' / 'in') qname rest? / 'table' ('extended' rest / 'stats' qname) / 'column' 'stats' qname / 'files' 'in' qname partition? / !('create' / 'partitions' / 'tblproperties' / 'columns' / 'files') rest
+%show <- 'create' ('table' / 'view' / 'schema' / 'database' / 'function' / 'materialized' 'view') qname ('as' 'serde')? / ('partitions' / 'tblproperties') qname rest? / 'columns' ('from' / 'in') qname rest? / 'table' ('extended' rest / 'stats' qname) / 'column' 'stats' qname / 'files' 'in' qname partition? / show_kind rest?
+%show_kind <- 'tables' / 'views' / 'materialized' 'views' / 'databases' / 'schemas' / 'namespaces' / 'catalogs' / ('all' / 'user' / 'system')? 'functions' / 'current'? 'roles' / 'role' 'grant' / 'grant' / 'grants' / 'principals' / 'users' / 'locks' / 'transactions' / 'compactions' / 'connectors' / 'conf' / 'formatted'? ('index' / 'indexes') / 'session' / 'variables' / 'global' ('variables' / 'status') / 'status' / 'full'? 'processlist' / 'procedures' / 'stats' / 'range' 'partitions' / 'data' 'sources' / 'collation' / 'warnings' / 'errors' / 'engines' / 'keys' / 'triggers' / 'resource' 'plans' / 'resource' 'plan' / 'current' ('user' / 'schema' / 'catalog') / 'authors' / 'backups' / 'profiles' / 'queries'
 %describe_word <- ('extended' / 'formatted' / 'database' / 'schema' / 'catalog' / 'function' / 'table' / 'query' / 'history' / 'detail' / 'input' / 'output') &(NAME / QUOTED_NAME / VARIABLE / STRING / 'table' / 'select' / 'with' / 'values' / 'from' / '(')
 %analyze <- 'table' qname partition_filter? 'compute' 'statistics' ('for' ('all'? 'columns' names? / names) / 'noscan' / 'partialscan' / 'cache' 'metadata')* / 'tables' (('in' / 'from') qname)? 'compute' 'statistics' 'noscan'? / qname ('with' properties)?
 %files <- 'jar' / 'jars' / 'file' / 'files' / 'archive' / 'archives'

@@ -19,8 +19,8 @@ from .peg import LexError
 LANGUAGES = {"py": "python", "sql": "sql", "hql": "sql", "sh": "shell", "json": "json"}
 PARSERS = {"json": json_lang, "python": python_lang, "sql": sql_lang, "shell": shell_lang}
 _MARKER = re.compile(r"(?m)^(?:<{7}|>{7}|\|{7}|={7})(?:[ \t].*)?\r?$")
-#: Nesting deeper than this many calls is taken for invalid rather than let the worker die.
-DEEPEST = 100_000
+#: Calls of grammar rules that one token can nest at most; the recursion limit grows with the text.
+CALLS = 60
 
 
 class Verdict(NamedTuple):
@@ -50,7 +50,7 @@ def _valid(text: str, lang: str) -> bool:
     p = PARSERS[lang]
     try:
         return bool(text.strip()) and p.GRAMMAR.accepts(p.tokens(text))
-    except (LexError, RecursionError):
+    except LexError:
         return False
 
 
@@ -60,17 +60,14 @@ def check(text: str, lang: str) -> Verdict:
     Empty texts are valid but for JSON.
     """
     p = PARSERS[lang]
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + CALLS * (len(text) + 1)))
     try:
         toks = p.tokens(text)
     except LexError as e:
         return _fail(text, e.at, lang, e.open_ended, e.why)
-    try:
-        if p.GRAMMAR.accepts(toks):
-            return Verdict(True)
-        far, want = p.GRAMMAR.furthest(toks)
-    except RecursionError:
-        return Verdict(False, 1, 1, "syntax", "nested too deep")
+    if p.GRAMMAR.accepts(toks):
+        return Verdict(True)
+    far, want = p.GRAMMAR.furthest(toks)
     names = {"KEY", "OP", "NAME", "WORD"}
     shown = ", ".join(sorted(w if w in names else w for w in want)[:8])
     return _fail(text, toks[far].at, lang, toks[far].kind in ("EOF", "DEDENT"), f"wanted {shown}")

@@ -17,8 +17,11 @@ PYTHON = [
     "x = y if z else w\nx += 1; y **= 2\n", "try:\n  a\nexcept* (E, F) as e:\n  b\nfinally:\n  c\n", "del a[0], b.c\n", "with (a as b, c as d): pass\n",
     "for x, *y in z: pass\nelse: q()\n", "x = {**a, 'b': 1}; y = {1, *z}\n", "global a\n", "from . import (a as b, c,)\n", "while (n := f()) > 1: break\n", "x[1:2, ::3, ...] = 4\n",
     "def f[T: int](x: T): pass\ntype A[T] = list[T]\n", "'''a\nb''' \"c\"\n", "not a is not b\n",
-    "f(**a, b)\n" if False else "f(*a, b=1, **c)\n",
+    "f(**a, b)\n", "f(*a, b=1, **c)\n", "f(a=1, 2)\n", "f(**a, *b)\n", "f'{'\n", "def f(a=1, b): pass\n", "f(a=1, *b)\n", "f(x for x in y)\n", "f(x for x in y, 1)\n", "f((a)=1)\n", "f(True=1)\n",
 ]
+FORMATTED = r"""f'{x!r:>{w}.{p}}' f'{x!q}' f'}' f'{{}}' f'{{{x}}}' f'{}' f'{x:{y}' f'{x' f'{a["b"]}' f'{a['b']}' f"{f'{f"{1}"}'}" f'{x=}' f'{x=!r}' f'{(lambda:1)()}' f'{lambda:1}' f'{x!=y}' f'{x:=10}' f'{(x:=10)}'
+f'\N{DASH}' f'\N{EM_DASH}' rf'\{x}\d' f'\{x}' f'{yield}' f'{*a,b}' f'{{1:2}[1]}' 'a'b'c' b'c''a' b'c'b'd' b'é' '\x1' '\xff' r'\x1' b'\x1' b'\u1' '\u12' '\N{nope}' '\U00110000' '\U0010ffff' f'{"\n".join(x)}' f'{x#}'""".split()
+PARAMS = ["a, /, b, *, c, **d", "a, b=1, /, c=2, *d, e, f=1, **g", "a, b=1, /, c", "/, a", "*, a", "*", "*, **k", "*,", "**k, a", "**k,", "*a, *b", "a, *, b=1, c", "a=1, b", ""]
 BROKEN = ["x = = 1\n", "if x\n  pass\n", "def f(:\n", "x = (1\n", "'abc\n", "  x = 1\n", "if x:\npass\n", "f() = 1\n", "a + b = 2\n", "print 'x'\n", "x = 1 +\n", "class\n", "'''open\n", "x = 12ab\n", "<<<<<<< a\n", "try:\n  a\n", "for in x: pass\n", "x = [1, 2\n", "import\n", "x = $\n", "def f():\n    x\n  y\n", "else: x\n"]
 
 
@@ -32,7 +35,7 @@ def python_ok(t):
         return False
 
 
-@pytest.mark.parametrize("t", PYTHON + BROKEN)
+@pytest.mark.parametrize("t", PYTHON + BROKEN + [f"{x}\n" for x in FORMATTED] + [f"def f({x}): pass\n" for x in PARAMS] + [f"lambda {x}: 0\n" for x in PARAMS])
 def test_python_as_the_interpreter(t):
     assert P.check(t, "python").valid == python_ok(t)
 
@@ -100,11 +103,13 @@ UTILITY_GOOD = [
     "ALTER TABLE t SET TBLPROPERTIES ('a'='b'); alter table t rename to u; alter table t partition (dt='1') set location '/x'; alter table t alter column c type bigint", "ALTER USER u SET PASSWORD = 'x'; CREATE USER u IDENTIFIED BY 'x'; create user v identified by {{ pw }}; create role r", "drop view if exists v; drop database d cascade; DROP FUNCTION f; truncate table t partition (dt='1')",
     "GRANT SELECT, INSERT ON TABLE a.b TO ROLE r WITH GRANT OPTION; revoke all privileges on database d from user u; grant role r to u", "ANALYZE TABLE t PARTITION (dt='1') COMPUTE STATISTICS FOR COLUMNS a, b; compute incremental stats t; COMPUTE STATS t", "LOAD DATA LOCAL INPATH '/x' OVERWRITE INTO TABLE t PARTITION (dt='1')",
     "create database if not exists d comment 'x' location '/y'; create function f as 'a.B' using jar 'hdfs:///x.jar'; create temporary function g as 'C'; create macro m(x int) x + 1", "import table t from '/x'; export table t to '/x'; add jar /a/b-1.jar; list jars; source /a/b.hql; comment on table t is 'x'", "describe formatted a.b; desc t; explain select 1; show partitions t; show create table t; show tables; show tables in d like 'x*'; use d",
+    "show role grant user u; show current roles; show functions like 'x*'; show grant user u on table t; show locks t; show databases; show conf 'x'",
     "CACHE TABLE t; REFRESH TABLE t; INVALIDATE METADATA; copy into t from 's3://x' credentials 'a=b' fileformat = csv; set; reset; begin; commit",
 ]
 UTILITY_BAD = [
     "ALTER TABLE t ADD", "alter table t", "alter table t add columns (a", "alter table t add partition", "alter table t rename to", "alter user u set password", "alter user u set password =", "drop table", "drop table if exists", "truncate table", "grant select on t", "grant select on table t to", "analyze table t", "analyze table t compute", "msck repair table", "msck",
     "load data inpath '/x' into table", "create database", "create function f", "create user u identified by", "import os\nimport sys\nprint(sys.argv)\n", "import os", "explain", "explain nonsense words", "show partitions", "describe", "comment on table t is", "list of things", "copy into t from", "purge it", "use",
+    "show me the money", "grant banana 1 2 3", "drop table select from where", "load data inpaht 'x' imto table t", "truncate tabel t", "use , , ,", "show",
     "alter table t\n<<<<<<< HEAD\nadd columns (a int)\n=======\nadd columns (b int)\n>>>>>>> x\n", "set x y\n<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n",
 ]
 BODIES_GOOD = ["x=$(if a; then b; fi)\n", 'echo "$(a "$(b | c)") `d \\`e\\``"\n', "a=(1 '2' \"$(x y)\"\n  3 # r\n)\n", "diff <(a | b) <(c)\n", "x=$(( $(a) + (2) )); y=${z:-$(b)}\n", "x=$(<f); y=$(); z=$(\n# r\na\n)\n", "echo '$(if)' \"it's $(a)\"\n"]
@@ -148,6 +153,8 @@ def test_deep_nesting_and_long_texts():
     assert P.check("(" * 3000 + ")" * 3000 + "\n", "python").valid
     assert P.check("x = 1\n" * 20_000, "python").valid
     assert P.check("[" * 20_000, "json").valid is False
+    assert P.check("[" * 100_000 + "]" * 100_000, "json").valid  # nesting has no limit
+    assert P.check("select " + "(" * 5000 + "1" + ")" * 5000, "sql").valid
 
 
 def test_frames(spark):
