@@ -1,10 +1,10 @@
 """Credentials embedded in source code: find them, and mask them without breaking the code.
 
 A text is scanned by literal and context rules. Literals that hold base64, hex,
-percent or backslash escapes are decoded, layer by layer, and scanned again; a
-find in a decoded layer marks the whole enclosing literal. Decoded bytes are
-also parsed as key containers (DER of PKCS#1, PKCS#8 and SEC1 keys, OpenSSH and
-PuTTY files, PKCS#12 and Java key stores) by their binary grammar.
+percent or backslash escapes are decoded, layer by layer until nothing decodes,
+inflated where they are compressed, and scanned again; a find in a decoded layer
+marks the whole enclosing literal. Decoded bytes are also parsed as key
+containers by their binary grammar (p1_containers).
 
 Null and empty texts have no finds. Every text is scanned whole.
 """
@@ -15,8 +15,10 @@ import base64
 import binascii
 import bisect
 import functools
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,8 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of encoding that are taken off at most; deeper ones would need a text of exponential size.
-MOST_LAYERS = 6
+from .p1_containers import key_container
+
+#: Inflated bytes are scanned in pieces of this size that overlap by the second, so that their memory is bounded.
+PIECE_BYTES, OVERLAP = 16_000_000, 1_000_000
 
 
 class Find(NamedTuple):
@@ -115,6 +119,10 @@ JOINED = re.compile(
 ALIAS = re.compile(r"(?m)^[ \t]*(?P<name>[\w.]+)[ \t]*=[ \t]*(?P<src>[A-Za-z_]\w*)[ \t]*(?:#.*)?\r?$")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_\-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_\-]{16,}={0,2})(?![A-Za-z0-9+/=])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){10,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){10,}(?![0-9A-Za-z])")
+#: Hexadecimal digits of a literal, in any case, also after 0x.
+HEX_RUN = re.compile(r"(?:0[xX])?((?:[0-9A-Fa-f]{2}){10,})")
+#: First bytes of compressed data (gzip, zlib).
+DEFLATED = (b"\x1f\x8b\x08", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 #: What parts the lines or pieces of one encoded literal: line ends (also written as \\n), indentation, quotes, plus signs, backslashes.
 GAP = r"""(?x:
       (?:(?:\\r)?\\n)? \\?["'] [ \t]* \+? [ \t]* (?: \\? [ \t]* \r?\n \s* (?:\+[ \t]*)? )? [bBrRuU]{0,2} \\?["']
@@ -180,65 +188,6 @@ def names_secret(name: str) -> bool:
     return bool(CAMEL_END.search(last)) and (not last.endswith("Key") or bool(KEY_STEM.search(last)))
 
 
-# ---------------------------------------------------------------- key containers
-
-
-def _der(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
-    """(tag, start, end) of the DER element at ``at``; None if it is none."""
-    if at + 2 > end:
-        return None
-    tag, n, at = b[at], b[at + 1], at + 2
-    if n & 0x80:
-        k = n & 0x7F
-        if not 1 <= k <= 4 or at + k > end:
-            return None
-        n, at = int.from_bytes(b[at : at + k], "big"), at + k
-    return (tag, at, at + n) if at + n <= end else None
-
-
-def _der_items(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    out = []
-    while at < end:
-        if (x := _der(b, at, end)) is None:
-            return None
-        out.append(x)
-        at = x[2]
-    return out
-
-
-def key_container(b: bytes) -> str | None:
-    """The kind of private-key container that the bytes are, by its grammar; None for public keys and the rest."""
-    if b.startswith(b"openssh-key-v1\x00"):
-        at, fields = 15, []
-        while at + 4 <= len(b) and len(fields) < 3:
-            n = int.from_bytes(b[at : at + 4], "big")
-            if at + 4 + n > len(b):
-                return None
-            fields.append(b[at + 4 : at + 4 + n])
-            at += 4 + n
-        return "openssh" if len(fields) == 3 else None
-    if b[:4] in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce") and int.from_bytes(b[4:8], "big") in (1, 2):
-        return "jks"
-    top = _der(b, 0, len(b))
-    if top is None or top[0] != 0x30 or top[2] != len(b):
-        return None
-    items = _der_items(b, top[1], top[2])
-    if not items or items[0][0] != 0x02:
-        return None
-    tags, version = [t for t, _, _ in items], b[items[0][1] : items[0][2]]
-    if tags[:9] == [0x02] * 9 and version in (b"\x00", b"\x01"):
-        return "pkcs1"
-    if len(tags) == 6 and tags == [0x02] * 6 and version == b"\x00":
-        return "dsa"
-    if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\x00", b"\x01"):
-        return "pkcs8"
-    if tags[:2] == [0x02, 0x04] and version == b"\x01":
-        return "sec1"
-    if tags[:2] == [0x02, 0x30] and version == b"\x03":
-        return "pkcs12"
-    return None
-
-
 # ---------------------------------------------------------------- layers
 
 
@@ -279,8 +228,9 @@ def _unwrapped(text: str, s: int, e: int) -> Iterator[tuple[int, int, bytes]]:
     for k in sorted({len(pieces), len(pieces) - 1, min(even + 1, len(pieces)), even}, reverse=True):
         lit = "".join(p for p, _ in pieces[:k])
         b = bytes.fromhex(lit) if k > 1 and HEX.fullmatch(lit) else _unbase64(lit) if k > 1 else None
-        if b is not None:
+        if b is not None and (_text(b) is not None or key_container(b) or b.startswith(DEFLATED)):
             yield s, pieces[k - 1][1], b
+            return
 
 
 def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -301,9 +251,9 @@ def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
             if s >= wrapped and (m := WRAPPED.match(text, s)):
                 wrapped = m.end()
                 yield from _unwrapped(text, s, wrapped)
-            if HEX.fullmatch(lit):
-                yield s, e, bytes.fromhex(lit)
-            else:
+            if h := HEX_RUN.fullmatch(lit):
+                yield s + h.start(1), e, bytes.fromhex(h[1])
+            if not HEX.fullmatch(lit):
                 for m in BASE64.finditer(text, s, e):
                     if not re.fullmatch(r"[a-z/]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+", m[0]) and (b := _unbase64(m[0])) is not None:
                         yield m.start(), m.end(), b
@@ -311,7 +261,7 @@ def layers(text: str) -> Iterator[tuple[int, int, bytes]]:
     if text.count("%") >= 3:
         for lo, hi in _lines_with(text, re.compile("%[0-9A-Fa-f]{2}")):
             for m in PERCENT.finditer(text, lo, hi):
-                yield m.start(), m.end(), unquote_to_bytes(m[0])
+                yield m.start(), m.end(), re.sub(rb"%(?:25){2,}", b"%25", unquote_to_bytes(m[0]))
     if "\\" in text:
         for lo, hi in _lines_with(text, re.compile(r"\\(?:x[0-9A-Fa-f]|u[0-9A-Fa-f]|[0-7]{3})")):
             for m in ESCAPED.finditer(text, lo, hi):
@@ -640,19 +590,51 @@ def _statement(text: str, at: int) -> int:
     return start if start >= 0 and text.find(";", start, at) < 0 else at
 
 
-def scan(text: str | None, depth: int = 0) -> list[Find]:
+def _inflated(b: bytes) -> Iterator[bytes]:
+    """Compressed bytes inflated, in overlapping pieces; nothing if they are not compressed. What can be read of cut-off data is."""
+    if not b.startswith(DEFLATED):
+        return
+    z, rest, kept = zlib.decompressobj(47), b, b""
+    try:
+        while rest and not z.eof:
+            piece = z.decompress(rest, PIECE_BYTES)
+            rest = z.unconsumed_tail
+            if not piece:
+                break
+            kept += piece
+            yield kept
+            kept = kept[-OVERLAP:] if rest else b""
+    except zlib.error:
+        return
+
+
+def _hidden(b: bytes) -> tuple[str, int] | None:
+    """(kind, layers) of a credential in decoded bytes, or in what they encode in turn, to any depth."""
+    todo, seen = [(b, 1)], set()
+    while todo:
+        b, depth = todo.pop()
+        if (key := hashlib.blake2b(b, digest_size=16).digest()) in seen:
+            continue
+        seen.add(key)
+        if kind := key_container(b):
+            return f"{kind} container", depth
+        todo += ((x, depth + 1) for x in _inflated(b))
+        if (t := _text(b)) is None or len(t) < 6:
+            continue
+        if first := min(_rules(t), default=None):
+            return first[2], depth
+        todo += ((x, depth + 1) for _, _, x in layers(t))
+    return None
+
+
+def scan(text: str | None) -> list[Find]:
     """Credentials in a text, in order and without overlaps. Null and empty: none."""
     if not text:
         return []
-    found = [Find(s, e, k, depth) for s, e, k in _rules(text) if e > s]
-    if depth < MOST_LAYERS:
-        for s, e, b in layers(text):
-            if any(f.start <= s and e <= f.end for f in found):
-                continue
-            if kind := key_container(b):
-                found.append(Find(s, e, f"{kind} container", depth + 1))
-            elif (t := _text(b)) is not None and len(t) >= 6 and (inner := scan(t, depth + 1)):
-                found.append(Find(s, e, inner[0].kind, inner[0].layers))
+    found = [Find(s, e, k, 0) for s, e, k in _rules(text) if e > s]
+    for s, e, b in layers(text):
+        if not any(f.start <= s and e <= f.end for f in found) and (hit := _hidden(b)):
+            found.append(Find(s, e, *hit))
     found.sort(key=lambda f: (f.start, -f.end))
     out: list[Find] = []
     for f in found:

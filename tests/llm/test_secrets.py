@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import ast
 import base64
+import gzip
 import json
 import re
+import shutil
+import subprocess
+import zlib
 
 import pytest
 from loomwork.llm import p1_secrets as S
@@ -101,7 +105,7 @@ def test_values_over_many_lines(text, line, parts):
     assert not any(p in masked for p in parts) and masked.count("\n") == text.count("\n") and S.mask(masked) == masked
 
 
-@pytest.mark.parametrize("layers", [1, 2, 4])
+@pytest.mark.parametrize("layers", [1, 2, 4, 7, 15])
 def test_encoded_layers(layers):
     inner = f'password = "{PW}"'
     for i in range(layers):
@@ -119,22 +123,98 @@ def _der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
-def test_key_containers():
-    integer = _der(2, b"\x01" * 64)
-    pkcs1 = _der(0x30, _der(2, b"\0") + integer * 8)
-    assert S.key_container(pkcs1) == "pkcs1"
-    assert S.key_container(_der(0x30, _der(2, b"\0") + _der(0x30, b"") + _der(4, pkcs1))) == "pkcs8"
-    assert S.key_container(_der(0x30, _der(2, b"\1") + _der(4, b"k" * 32))) == "sec1"
-    assert S.key_container(_der(0x30, _der(0x30, b"") + _der(3, b"\0" * 70))) is None  # a public key
-    assert S.key_container(b"noise") is None and S.key_container(b"") is None
-    assert S.scan(f'BLOB = "{base64.b64encode(pkcs1).decode()}"')[0].kind == "pkcs1 container"
+def _field(x, size=4):
+    return len(x).to_bytes(size, "big") + x
+
+
+PKCS1 = _der(0x30, _der(2, b"\0") + _der(2, b"\x01\x7f\x33" * 21) * 8)
+RSA_ID = _der(0x30, _der(6, bytes.fromhex("2a864886f70d010101")) + _der(5, b""))
+PKCS8 = _der(0x30, _der(2, b"\0") + RSA_ID + _der(4, PKCS1))
+SEC1 = _der(0x30, _der(2, b"\1") + _der(4, b"k" * 32) + _der(0xA0, _der(6, bytes.fromhex("2a8648ce3d030107"))))
+SEALED = _der(0x30, _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")) + _der(0x30, b"")) + _der(4, b"s" * 80))
+CERT = _field(b"X.509", 2) + _field(_der(0x30, b"c" * 40))
+JKS = b"\xfe\xed\xfe\xed" + b"\0\0\0\2\0\0\0\1" + b"\0\0\0\1" + _field(b"alias", 2) + bytes(8) + _field(SEALED) + b"\0\0\0\1" + CERT + b"d" * 20
+_KEY = _field(b"ssh-ed25519") + _field(b"p" * 32)
+_SECRET = b"abcdabcd" + _KEY + _field(b"s" * 64) + _field(b"a@b")
+SSH = b"openssh-key-v1\0" + _field(b"none") * 2 + _field(b"") + b"\0\0\0\1" + _field(_KEY) + _field(_SECRET + bytes(range(1, 9))[: -len(_SECRET) % 8])
+P12 = _der(0x30, _der(2, b"\3") + _der(0x30, _der(6, bytes.fromhex("2a864886f70d010701")) + _der(0xA0, _der(4, b"x" * 50))))
+CONTAINERS = {"pkcs1": PKCS1, "pkcs8": PKCS8, "sec1": SEC1, "encrypted pkcs8": SEALED, "jks": JKS, "openssh": SSH, "pkcs12": P12}
+
+
+@pytest.mark.parametrize("kind", CONTAINERS)
+def test_key_containers(kind):
+    whole = CONTAINERS[kind]
+    assert S.key_container(whole) == kind
+    assert S.scan(f'BLOB = "{base64.b64encode(whole).decode()}"')[0].kind == f"{kind} container"
+    for broken in (whole[:-1], whole[:24], whole + b"\0", whole[:16] + bytes(len(whole) - 16)):
+        assert S.key_container(broken) is None
+
+
+def test_what_only_looks_like_a_container():
+    assert S.key_container(_der(0x30, RSA_ID + _der(3, b"\0" * 70))) is None  # a public key
+    assert S.key_container(_der(0x30, RSA_ID + _der(4, b"h" * 32))) is None  # a digest
+    assert S.key_container(_der(0x30, _der(2, b"\0") + _der(0x30, b"") + _der(4, b"hello" * 9))) is None
+    assert S.key_container(b"openssh-key-v1\0" + _field(b"") * 3) is None and S.key_container(b"\xfe\xed\xfe\xed" + (2).to_bytes(4, "big") + bytes(range(120))) is None
+    assert S.key_container(b"noise" * 9) is None and S.key_container(b"") is None
+
+
+@pytest.mark.parametrize("args", [["genrsa", "1024"], ["ecparam", "-genkey", "-noout", "-name", "prime256v1"], ["genpkey", "-algorithm", "ed25519"], ["genpkey", "-algorithm", "RSA", "-aes128", "-pass", "pass:abcd1234"]])
+def test_containers_that_tools_make(args):
+    if not (tool := shutil.which("openssl")):
+        pytest.skip("no tool")
+    pem = subprocess.run([tool, *args], capture_output=True, text=True, check=True).stdout
+    body = "".join(x for x in pem.splitlines() if not x.startswith("--"))
+    assert S.key_container(base64.b64decode(body)) and S.scan(f"x = '{body}'")
+
+
+def test_key_store_and_openssh_that_tools_make(tmp_path):
+    made = []
+    if tool := shutil.which("keytool"):
+        for kind in ("JKS", "PKCS12"):
+            path = tmp_path / kind
+            subprocess.run([tool, "-genkeypair", "-keyalg", "RSA", "-storetype", kind, "-keystore", path, "-storepass", "abcd1234", "-keypass", "abcd1234", "-dname", "CN=a"], capture_output=True, check=True)
+            made.append(path.read_bytes())
+    if tool := shutil.which("ssh-keygen"):
+        for i, more in enumerate((["-t", "rsa", "-b", "1024"], ["-t", "ed25519"], ["-t", "ecdsa"], ["-t", "ed25519", "-N", "abcd1234"])):
+            path = tmp_path / f"k{i}"
+            subprocess.run([tool, "-q", "-f", path, *(["-N", ""] if "-N" not in more else []), *more], capture_output=True, check=True)
+            made.append(base64.b64decode("".join(x for x in path.read_text().splitlines() if not x.startswith("--"))))
+    assert None not in [S.key_container(x) for x in made]
+
+
+def test_packets_and_blobs():
+    body = b"\4" + bytes(4) + b"\1" + b"\x02\x00" + b"n" * 64 + b"\0\x11\1\0\1" + b"\0" + b"s" * 90
+    assert S.key_container(bytes([0xC5, 192 + (len(body) - 192 >> 8), len(body) - 192 & 255]) + body if len(body) >= 192 else bytes([0xC5, len(body)]) + body) == "pgp"
+    assert S.key_container(bytes([0xC6, len(body)]) + body) is None  # a public key
+    blob = b"\7\2\0\0\0\xa4\0\0RSA2" + (1024).to_bytes(4, "little") + bytes(4 + 64 * 9)
+    assert S.key_container(blob) == "key blob" and S.key_container(blob[:-1]) is None
+
+
+def test_hex_with_prefix_and_compressed_layers():
+    inner = f'user = a\npassword = "{PW}"\n'.encode()
+    for lit in (f"0x{inner.hex()}", f"0X{inner.hex().upper()}", inner.hex()[:20].upper() + inner.hex()[20:], base64.b64encode(gzip.compress(inner)).decode(), base64.b64encode(zlib.compress(inner)).decode(), base64.b64encode(gzip.compress(JKS)).decode()):
+        text = f"x = unpack('{lit}')\ny = 1\n"
+        assert len(S.scan(text)) == 1 and lit[8:] not in S.mask(text) and S.mask(text).endswith("')\ny = 1\n")
+    assert S.scan(f"x = '{base64.b64encode(gzip.compress(b'only words ' * 40)).decode()}'") == []
+
+
+def test_inflated_bytes_are_scanned_in_pieces(monkeypatch):
+    monkeypatch.setattr(S, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 200)
+    for at in range(880, 1000, 40):
+        packed = base64.b64encode(gzip.compress(b"x = 1\n" * (at // 6) + f'password = "{PW}"\n'.encode() + b"y = 2\n" * 700)).decode()
+        assert len(S.scan(f"x = '{packed}'")) == 1
+
+
+def test_deep_percent_layers():
+    text = "".join(f"%{b:02x}" for b in f"password={PW}".encode())
+    for _ in range(40):
+        text = text.replace("%", "%25")
+    assert len(S.scan(f"u = '{text}'")) == 1
 
 
 def _wrapped_texts():
-    pkcs1 = _der(0x30, _der(2, b"\0") + _der(2, b"\x01\x7f\x33" * 21) * 8)
-    pkcs8 = _der(0x30, _der(2, b"\0") + _der(0x30, b"") + _der(4, pkcs1))
-    jks = b"\xfe\xed\xfe\xed" + (2).to_bytes(4, "big") + bytes(range(120))
-    ssh = b"openssh-key-v1\x00" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"k" * 90))
+    pkcs1, pkcs8, jks, ssh = PKCS1, PKCS8, JKS, SSH
     settings = f"# settings of the nightly load, one to a line\nhost = a.example\npassword = \"{PW}\"\nport = 5432\n".encode()
     for what in (pkcs1, pkcs8, jks, ssh, settings, settings + b"#" * (48 - len(settings) % 48)):
         for width in (64, 76):
