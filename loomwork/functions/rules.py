@@ -269,13 +269,23 @@ DEPRECATED = [
 
 # --- fixed values: prefixes of modules and the package that brings them; the first prefix that fits holds ---
 PROVIDERS = [
-    ("airflow.providers." + p, "apache-airflow-providers-" + (q or p.replace(".", "-")))
-    for p, q in [
-        ("google", None), ("amazon", None), ("microsoft.azure", None), ("microsoft.mssql", None), ("postgres", None), ("mysql", None), ("oracle", None),
-        ("jdbc", None), ("sqlite", "common-sql"), ("slack", None), ("ssh", None), ("sftp", None), ("apache.spark", None), ("cncf.kubernetes", None),
-        ("docker", None), ("http", None),
-    ]
-]
+    ("airflow.providers.google", "apache-airflow-providers-google"),
+    ("airflow.providers.amazon", "apache-airflow-providers-amazon"),
+    ("airflow.providers.microsoft.azure", "apache-airflow-providers-microsoft-azure"),
+    ("airflow.providers.microsoft.mssql", "apache-airflow-providers-microsoft-mssql"),
+    ("airflow.providers.postgres", "apache-airflow-providers-postgres"),
+    ("airflow.providers.mysql", "apache-airflow-providers-mysql"),
+    ("airflow.providers.oracle", "apache-airflow-providers-oracle"),
+    ("airflow.providers.jdbc", "apache-airflow-providers-jdbc"),
+    ("airflow.providers.sqlite", "apache-airflow-providers-common-sql"),
+    ("airflow.providers.slack", "apache-airflow-providers-slack"),
+    ("airflow.providers.ssh", "apache-airflow-providers-ssh"),
+    ("airflow.providers.sftp", "apache-airflow-providers-sftp"),
+    ("airflow.providers.apache.spark", "apache-airflow-providers-apache-spark"),
+    ("airflow.providers.cncf.kubernetes", "apache-airflow-providers-cncf-kubernetes"),
+    ("airflow.providers.docker", "apache-airflow-providers-docker"),
+    ("airflow.providers.http", "apache-airflow-providers-http"),
+]
 # --- fixed values: parameters of workflows and operators: pattern, new text ---
 PARAM_RENAMES = [
     (r"(?<![\w.])schedule_interval(?=\s*=)", "schedule"),
@@ -288,3 +298,23 @@ SPARK_WEIGHTS = {"error": 0.3, "warning": 0.1, "info": 0.02}
 FLOW_WEIGHTS = {"error": 20, "warning": 5, "info": 1}
 LINT_WEIGHTS = {"error": 10, "warning": 5, "info": 1}
 GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D"), (0, "F")]
+
+# --- fixed values: checks of workflow definitions ---
+REMOVED_MODULES = ["SubDagOperator", "airflow.operators.subdag_operator", "airflow.contrib"]
+OLD_MODULES = [
+    ("airflow.operators.python_operator", "airflow.operators.python"),
+    ("airflow.operators.bash_operator", "airflow.operators.bash"),
+    ("airflow.operators.dummy_operator", "airflow.operators.empty"),
+]
+OLD_PARAMS = [
+    ("schedule_interval", "warning", "deprecated_param"),
+    ("provide_context", "info", "unnecessary_param"),
+    ("execution_date", "warning", "deprecated_param"),
+]
+OLD_CONTEXT = ["execution_date", "next_execution_date", "prev_execution_date"]
+#: Modules that tell an old version when they are imported.
+OLD_VERSION_MODULES = [
+    "airflow.operators.python_operator", "airflow.operators.bash_operator", "airflow.operators.dummy_operator", "airflow.operators.email_operator",
+    "airflow.operators.subdag_operator", "airflow.contrib.operators", "airflow.contrib.hooks", "airflow.contrib.sensors",
+]
+BASE_REQUIREMENT = "apache-airflow>=2.7.0"

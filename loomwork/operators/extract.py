@@ -24,7 +24,7 @@ _PY = [
 ]
 _SH = [
     *(re.compile(rf"\b{re.escape(cmd)}\s+(?:[^\n\"']*?\s)?{flag}\s+(?:\"(?P<a>.*?)\"|'(?P<b>.*?)')", re.S) for cmd, flag in SHELL_RUNNERS),
-    re.compile(r"\b(?:hive|beeline|impala-shell|spark-sql)\s*<<(?P<dash>-?)\s*['\"]?(?P<tag>\w+)['\"]?[ \t]*\n(?P<a>.*?)\n[ \t]*(?P=tag)[ \t]*(?:\n|$)(?P<b>)", re.S),
+    re.compile(r"\b(?:hive|beeline|impala-shell|spark-sql)\s*<<(?P<dash>-?)\s*['\"]?(?P<tag>\w+)['\"]?[ \t]*\n(?P<a>.*?)\n[ \t]*(?P=tag)[ \t]*(?=\n|$)(?P<b>)", re.S),
     re.compile(r"(?P<name>\w*(?:SQL|HQL|QUERY))\s*=\s*(?:\"(?P<a>.*?)\"|'(?P<b>.*?)')", re.S | re.I),
 ]
 
@@ -64,27 +64,27 @@ def split_statements(text: str) -> list[str]:
     return [s for s in [*out, text[start:].strip()] if s]
 
 
+#: A quoted value, which is kept, or a remark.
+_REMARK = re.compile(r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|(?P<remark>--[^\n]*|/\*.*?\*/)", re.S)
+
+
 def strip_comments(text: str) -> str:
-    return re.sub(r"/\*.*?\*/", "", re.sub(r"--[^\n]*", "", text), flags=re.S)
+    """The text without remarks; what looks like one within quotes stays."""
+    return _REMARK.sub(lambda m: "" if m["remark"] else m[0], text)
 
 
 def _places(text: str) -> Callable[[int], int]:
     """Where a character of the text without comments stands in the text."""
-    maps = []
-    for p in (re.compile(r"--[^\n]*"), re.compile(r"/\*.*?\*/", re.S)):
-        after, shift, gone = [], [], 0
-        for m in p.finditer(text):
+    after, shift, gone = [], [], 0
+    for m in _REMARK.finditer(text):
+        if m["remark"]:
             after.append(m.start() - gone)
             gone += m.end() - m.start()
             shift.append(gone)
-        maps.append((after, shift))
-        text = p.sub("", text)
 
     def place(at: int) -> int:
-        for after, shift in reversed(maps):
-            k = bisect.bisect_right(after, at)
-            at += shift[k - 1] if k else 0
-        return at
+        k = bisect.bisect_right(after, at)
+        return at + (shift[k - 1] if k else 0)
 
     return place
 

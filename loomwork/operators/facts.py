@@ -73,6 +73,21 @@ def resolve(node: ast.AST, names: dict[str, ast.AST], depth: int = 0) -> str:
     return "{" + (_dotted(node) or "unknown") + "}"
 
 
+_INSIDE = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|(?<![{$])\{([A-Za-z_]\w*)\}(?!\})")
+
+
+def expand(text: str, names: dict[str, ast.AST], depth: int = 0) -> str:
+    """``$v``, ``${v}`` and ``{v}`` inside a text replaced by the texts of the variables, also within those; others and ``{{ templates }}`` stay."""
+    if depth >= DEEPEST:
+        return text
+
+    def value(m: re.Match) -> str:
+        name = m[1] or m[2] or m[3]
+        return expand(resolve(names[name], names), {k: v for k, v in names.items() if k != name}, depth + 1) if name in names else m[0]
+
+    return _INSIDE.sub(value, text)
+
+
 def _assigned(tree: ast.Module) -> dict[str, ast.AST]:
     return {t.id: n.value for n in ast.walk(tree) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
 
@@ -120,6 +135,8 @@ def facts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 # ---------------------------------------------------------------- workflows
 
+_resolved = resolve
+
 
 def _chain(node: ast.AST, edges: list, ids: dict[str, str]) -> list[str]:
     """Tasks at the end of a dependency expression; edges of the whole chain are added."""
@@ -141,6 +158,7 @@ def flow(text: str) -> tuple[list[str], list[tuple], list[tuple]]:
     if tree is None:
         return [], [], []
     names, dags, tasks, ids, edges = _assigned(tree), [], [], {}, []
+    resolve = lambda node, names: expand(_resolved(node, names), names)
     for n in ast.walk(tree):
         if not isinstance(n, ast.Call):
             continue

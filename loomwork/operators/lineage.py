@@ -15,8 +15,13 @@ from ..functions.rules import NAME_PART, SQL_WORDS, STATEMENTS
 VARIABLE = r"\$\{[A-Za-z_]\w*\}|\$[A-Za-z_]\w*|\{[A-Za-z_]\w*\}"
 
 
+#: A quoted value (kept), or a remark; what is never closed goes to the end of its line or text.
+_QUOTED_OR_REMARK = r"('(?:[^'\\]|\\.|'')*+'|\"(?:[^\"\\]|\\.|\"\")*+\")|--[^\n]*|(?s)/\*.*?\*/"
+
+
 def without_comments(sql: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    """The text without remarks; what looks like one within quotes stays."""
+    return F.regexp_replace(sql, _QUOTED_OR_REMARK, "$1")
 
 
 def without_code(text: Column) -> Column:
@@ -94,9 +99,12 @@ def tables(df: DataFrame, key: str, sql: str, require_schema: bool = True) -> Da
     )
 
 
+_SKIPPED = re.compile(r"'(?:[^'\\]|\\.|'')*+'|\"(?:[^\"\\]|\\.|\"\")*+\"|--[^\n]*|/\*.*?\*/", re.S)
+
+
 def cte_names(sql: str) -> list[str]:
-    """Names of the CTEs of a text in order, nested ones included; parentheses are balanced outside quotes."""
-    sql = re.sub(r"/\*.*?\*/", "", re.sub(r"--[^\n]*", "", sql), flags=re.S)
+    """Names of the CTEs of a text in order, nested ones included; quoted values and remarks open and close nothing."""
+    sql = _SKIPPED.sub(lambda m: " " * len(m[0]), sql)
     head, out = re.compile(r"\s*([A-Za-z_]\w*)\s+AS\s*\(", re.I), []
     for w in re.finditer(r"\bWITH\s+(?:RECURSIVE\s+)?", sql, re.I):
         at = w.end()
@@ -124,3 +132,42 @@ def ctes(df: DataFrame, key: str, sql: str) -> DataFrame:
     got = df.select(F.col(key).alias("k"), F.col(sql).alias("t")).filter(F.col("t").rlike(r"(?i)\bWITH\b")).mapInPandas(run, f"k {kind}, cte_names array<string>, is_recursive boolean")
     n = F.size("cte_names")
     return got.filter(n > 0).select(F.col("k").alias(key), "cte_names", n.alias("total"), F.array_sort(F.array_distinct("cte_names")).alias("unique_names"), "is_recursive", (n > 1).alias("is_multiple"))
+
+
+def extension(path: str) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def resolved(df: DataFrame, path: str, text: str) -> DataFrame:
+    """``df`` with values (the variables a file defines) and clean (its text with them in place), by the file's extension.
+
+    Python and shell files lose the lines that are no SQL; variables that have
+    no value stay as they are.
+    """
+    kind, none = extension(path), F.create_map().cast("map<string,string>")
+    values = F.when(kind == "py", definitions(F.col(text), "py")).when(kind == "sh", definitions(F.col(text), "sh")).otherwise(none)
+    bare = F.when(kind.isin("py", "sh"), without_code(F.col(text))).otherwise(F.col(text))
+    return df.withColumn("values", values).withColumn("clean", substitute(bare, F.col("values")))
+
+
+def analysis(df: DataFrame, key: str, path: str, text: str, require_schema: bool = True) -> DataFrame:
+    """One row per file of SQL, Python or shell that names tables: key, by_type (map of kind to tables in order), all_tables, variable_tables.
+
+    variable_tables maps a name that still has variables to the names of them.
+    Variables a file defines are put in place first. Other files have no row.
+    """
+    ready = resolved(df.filter(extension(path).isin("sql", "hql", "py", "sh")), path, text)
+    per_kind = tables(ready, key, "clean", require_schema).groupBy(key, "stmt_type").agg(F.array_sort(F.collect_set("table_name")).alias("names"))
+    per_file = per_kind.groupBy(key).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stmt_type", "names")))).alias("by_type"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("all_tables"),
+    )
+    parts = F.transform(F.filter("all_tables", is_variable), lambda t: F.struct(t, F.transform(variables(t), lambda v: v["name"])))
+    return per_file.withColumn("variable_tables", F.map_from_entries(parts))
+
+
+def listing(found: DataFrame, key: str) -> DataFrame:
+    """key, text: the analysis of each file as a listing with counts, kinds and names in order."""
+    part = F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit(" ("), F.size(e["value"]).cast("string"), F.lit("): "), F.array_join(e["value"], ", ")))
+    head = F.concat(F.lit("tables: "), F.size("all_tables").cast("string"))
+    return found.select(key, F.array_join(F.concat(F.array(head), part), "\n").alias("text"))

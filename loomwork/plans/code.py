@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import DIALECTS, ENGINE_RULES, FLOW_WEIGHTS, MODULE_MOVES, NAME_PART, PROVIDERS, SPARK_CHECKS, SQL_INSIDE, SQL_STARTS, SQL_WORDS, STATEMENTS
+from ..functions.rules import DIALECTS, ENGINE_RULES, MODULE_MOVES, NAME_PART, PROVIDERS, SPARK_CHECKS, SQL_INSIDE, SQL_STARTS, SQL_WORDS, STATEMENTS
 from ..operators import classify, extract, facts, lineage, rewrite, validate
 from ..session import spread, table
 
@@ -31,18 +31,13 @@ def classify_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classify_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return classify.scores(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_id", "raw_code", [r for r in ENGINE_RULES if r[0] == "spark"], evidence=True).select("file_id", "evidence")
+    return classify.scores(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_id", "raw_code", evidence=True).select("file_id", "family", F.size(F.split("evidence", "; ")).alias("pieces"))
 
 
 def extracted_statements(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(_wide(spark, d, "code_file", "file_id, file_path, raw_code"), "file_path", "raw_code")
 
 
-def extract_summary(spark: SparkSession, d: str) -> DataFrame:
-    files = _code(spark, d).filter("file_path is not null")
-    return extract.summary(files, extract.extract(files, "file_path", "raw_code"), "file_path")
-
-
 def statement_types(spark: SparkSession, d: str) -> DataFrame:
     t = _sql(spark, d).filter("sql is not null")
     return t.groupBy(extract.dialect(F.col("sql")).alias("dialect"), extract.valid(F.col("sql")).alias("valid")).agg(F.count("*").alias("statements"))
@@ -66,20 +61,13 @@ def table_variables(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("sql_id", "kind", "name").agg(F.count("*").alias("uses"))
 
 
-def resolved_variables(spark: SparkSession, d: str) -> DataFrame:
-    """Shell files with their own variables put in place, as the length of what comes out."""
-    sh = _code(spark, d).filter("file_path like '%.sh' and raw_code is not null")
-    values = lineage.definitions(F.col("raw_code"), "sh")
-    return sh.select("file_id", F.map_keys(values).alias("names"), F.length(lineage.substitute(F.col("raw_code"), values)).alias("chars"))
-
-
 def ctes(spark: SparkSession, d: str) -> DataFrame:
     return lineage.ctes(_sql(spark, d), "sql_id", "sql")
 
 
 def cte_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Statements by number of CTEs at their head (one per statement in these tables)."""
-    return ctes(spark, d).filter("total = 1").select("sql_id", F.col("cte_names")[0].alias("cte_name"))
+    """Statements by their first CTE and how many they have."""
+    return ctes(spark, d).select("sql_id", "total", F.col("cte_names")[0].alias("cte_name"))
 
 
 def line_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -90,10 +78,6 @@ def spark_scores(spark: SparkSession, d: str) -> DataFrame:
     return validate.spark_score(validate.tally(line_issues(spark, d), "file_id")).withColumn("score", F.round("score", 6))
 
 
-def flow_grades(spark: SparkSession, d: str) -> DataFrame:
-    return validate.flow_score(validate.tally(line_issues(spark, d), "file_id"), FLOW_WEIGHTS)
-
-
 def migration_summary(spark: SparkSession, d: str) -> DataFrame:
     return validate.summary(table(spark, d, "migration_result"), "success", "compatibility_score").withColumns({c: F.round(c, 6) for c in ("success_rate", "avg_score")})
 
@@ -102,20 +86,10 @@ def issue_codes(spark: SparkSession, d: str) -> DataFrame:
     return validate.per_code(line_issues(spark, d), "code")
 
 
-def rewrites(spark: SparkSession, d: str) -> DataFrame:
-    got = rewrite.fold(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
-    return got.select("file_id", "rewritten", F.transform("changes", lambda c: c["rule"]).alias("changes"), F.transform("warnings", lambda c: c["rule"]).alias("warnings"))
-
-
 def rewrite_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of the two method renames over all Python files."""
+    """Hits of every rule that changed a text, over all Python files."""
     got = rewrite.fold(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'").select("file_id", "raw_code"), "raw_code")
-    return got.select(F.inline("changes")).filter("rule in ('register_temp_table', 'union_all_deprecated')").groupBy("rule").agg(F.sum("hits").alias("hits"))
-
-
-def flow_rewrites(spark: SparkSession, d: str) -> DataFrame:
-    got = rewrite.upgrade_flows(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py' and raw_code is not null").select("file_id", "raw_code"), "raw_code")
-    return got.select("file_id", F.md5("rewritten").alias("digest"), (F.col("rewritten") != F.col("raw_code")).alias("changed"))
+    return got.select(F.inline("changes")).groupBy("rule").agg(F.sum("hits").alias("hits"))
 
 
 def module_moves(spark: SparkSession, d: str) -> DataFrame:
@@ -137,14 +111,6 @@ def deprecated_uses(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).select(F.explode("deprecated_apis.api").alias("api")).groupBy("api").agg(F.count("*").alias("uses"))
 
 
-def flow_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return facts.tasks(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_path", "raw_code")
-
-
-def flow_edges(spark: SparkSession, d: str) -> DataFrame:
-    return facts.edges(_wide(spark, d, "code_file", "file_id, file_path, raw_code").filter("file_path like '%.py'"), "file_path", "raw_code")
-
-
 def table_reach(spark: SparkSession, d: str) -> DataFrame:
     """All tables that data of a table can reach within a source file: insert targets from their sources, closed."""
     t = lineage.tables(_sql(spark, d), "sql_id", "sql").join(_sql(spark, d).select("sql_id", "source_file"), "sql_id")
@@ -177,11 +143,12 @@ def _lit(s: str) -> str:
 
 _FAMILIES = list(dict.fromkeys(r[0] for r in ENGINE_RULES))
 _SCORE = {f: " + ".join(f"CASE WHEN regexp_matches(t, {_lit(p)}, 'i') THEN {s} ELSE 0 END" for g, p, s in ENGINE_RULES if g == f) for f in _FAMILIES}
+_HITS = {f: " + ".join(f"CASE WHEN regexp_matches(t, {_lit(p)}, 'i') THEN 1 ELSE 0 END" for g, p, _ in ENGINE_RULES if g == f) for f in _FAMILIES}
 _TEXT = "(SELECT file_id, coalesce(raw_code, '') AS t FROM code_file)"
 _ALL_SCORES = " UNION ALL ".join(f"SELECT file_id, '{f}' AS family, {i} AS o, ({_SCORE[f]})::BIGINT AS score FROM {_TEXT}" for i, f in enumerate(_FAMILIES))
 _DIALECT = "CASE " + " ".join(f"WHEN regexp_matches(upper(sql), {_lit('|'.join(w))}) THEN '{d}'" for d, w in DIALECTS) + " ELSE 'generic' END"
 _VALID = f"(length(trim(sql)) >= 10 AND (regexp_matches(upper(trim(sql)), '^(?:{'|'.join(SQL_STARTS)})') OR regexp_matches(upper(sql), '{'|'.join(SQL_INSIDE)}')))"
-_CLEAN = r"regexp_replace(regexp_replace(sql, '--[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g')"
+_CLEAN = r"""regexp_replace(sql, '(''(?:[^''\x5C]|\x5C.|'''')*''|"(?:[^"\x5C]|\x5C.|"")*")|--[^\n]*|/\*(?s:.)*?\*/', '\1', 'g')"""
 _PART2 = rf"{NAME_PART}(?:\.{NAME_PART})"
 _TABLES = f"""
 WITH c AS (SELECT sql_id, {_CLEAN} AS t FROM extracted_sql WHERE sql IS NOT NULL),
@@ -193,6 +160,20 @@ WHERE regexp_matches(table_name, '\\$\\{{[A-Za-z_]\\w*\\}}|\\$[A-Za-z_]\\w*|\\{{
 _LINES = "(SELECT file_id, unnest(string_split(raw_code, chr(10))) AS l, generate_subscripts(string_split(raw_code, chr(10)), 1) AS line_no FROM code_file WHERE file_path LIKE '%.py')"
 _ISSUES = " UNION ALL ".join(f"SELECT file_id, line_no::INT AS line_no, instr(l, {_lit(p)})::INT AS col_no, '{s}' AS severity, {_lit(p)} AS code FROM {_LINES} WHERE contains(l, {_lit(p)})" for p, s in SPARK_CHECKS)
 _TALLY = f"SELECT file_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM ({_ISSUES}) GROUP BY file_id"
+
+
+def folded() -> str:
+    """SQL of all rules one after another over the Python files: file_id, t (the new text), changes and warnings (rule=hits, in order)."""
+    step, changes, warnings, rules = "SELECT file_id, raw_code AS t0 FROM code_file WHERE file_path LIKE '%.py' AND raw_code IS NOT NULL", [], [], rewrite.ordered()
+    for i, (name, pattern, new, _, _, is_regex, may) in enumerate(rules):
+        hits = f"len(regexp_extract_all(t{i}, {_lit(pattern)}))" if is_regex else f"(length(t{i}) - length(replace(t{i}, {_lit(pattern)}, ''))) // {len(pattern)}"
+        put = f"regexp_replace(t{i}, {_lit(pattern)}, {_lit(new)}, 'g')" if is_regex else f"replace(t{i}, {_lit(pattern)}, {_lit(new)})"
+        step = f"SELECT *, {hits} AS n{i}, {put if may else f't{i}'} AS t{i + 1} FROM ({step})"
+        (changes if may else warnings).append(f"CASE WHEN n{i} > 0 THEN '{name}=' || n{i} END")
+    told = lambda x: f"concat_ws(' ', {', '.join(x)})"
+    return f"SELECT file_id, t{len(rules)} AS t, {told(changes)} AS changes, {told(warnings)} AS warnings FROM ({step})"
+
+
 _REACH = f"""
 WITH RECURSIVE t AS (SELECT x.*, e.source_file FROM ({_TABLES}) x JOIN extracted_sql e USING (sql_id)),
 e AS (SELECT DISTINCT i.source_file AS g, lower(o.table_name) AS a, lower(i.table_name) AS b FROM t i JOIN t o USING (sql_id)
@@ -200,12 +181,15 @@ e AS (SELECT DISTINCT i.source_file AS g, lower(o.table_name) AS a, lower(i.tabl
 r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a)
 SELECT g AS source_file, a AS from_table, b AS to_table FROM r"""
 
+#: Heads of CTEs by pattern; good for texts whose values hold none.
+_CTES = rf"""SELECT sql_id, regexp_extract_all({_CLEAN}, '(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)([A-Za-z_]\w*)\s+AS\s*\(', 1) AS names,
+regexp_matches(sql, '(?i)\bWITH\s+RECURSIVE\b') AS is_recursive FROM extracted_sql WHERE sql IS NOT NULL"""
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_scores, classify_best, classify_evidence, extracted_statements, extract_summary, statement_types, statements_by_file, table_lineage,
-        lineage_counts, table_variables, resolved_variables, ctes, cte_counts, line_issues, spark_scores, flow_grades, migration_summary, issue_codes,
-        rewrites, rewrite_counts, flow_rewrites, module_moves, import_facts, code_facts, deprecated_uses, flow_tasks, flow_edges, table_reach, command_parts,
+        classify_scores, classify_best, classify_evidence, extracted_statements, statement_types, statements_by_file, table_lineage,
+        lineage_counts, table_variables, ctes, cte_counts, line_issues, spark_scores, migration_summary, issue_codes,
+        rewrite_counts, module_moves, import_facts, code_facts, deprecated_uses, table_reach, command_parts,
         operator_kinds, lint_report,
     )
 }
@@ -214,24 +198,21 @@ SQL = {
     "classify_scores": f"SELECT file_id, family, score FROM ({_ALL_SCORES}) WHERE score > 0",
     "classify_best": f"""SELECT file_id, CASE WHEN score > 0 THEN family ELSE 'unknown' END AS family, score FROM ({_ALL_SCORES})
 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, o) = 1""",
+    "classify_evidence": " UNION ALL ".join(f"SELECT file_id, '{f}' AS family, least(8, n)::INT AS pieces FROM (SELECT file_id, {_HITS[f]} AS n FROM {_TEXT}) WHERE n > 0" for f in _FAMILIES),
     "statement_types": f"SELECT {_DIALECT} AS dialect, {_VALID} AS valid, count(*) AS statements FROM extracted_sql WHERE sql IS NOT NULL GROUP BY 1, 2",
     "statements_by_file": "SELECT source_file, count(*) AS statements, min(line_start) AS first_line, max(line_end) AS last_line FROM extracted_sql WHERE sql IS NOT NULL GROUP BY source_file",
     "table_lineage": _TABLES,
     "lineage_counts": f"SELECT stmt_type, count(*) AS names, count(DISTINCT table_name) AS tables FROM ({_TABLES}) GROUP BY stmt_type",
     "table_variables": f"""SELECT sql_id, CASE WHEN starts_with(v, '{{') THEN 'python' ELSE 'shell' END AS kind, regexp_replace(v, '[${{}}]', '', 'g') AS name, count(*) AS uses
 FROM (SELECT sql_id, unnest(regexp_extract_all(sql, {_lit(_VAR)})) AS v FROM extracted_sql) GROUP BY 1, 2, 3""",
-    "cte_counts": rf"""SELECT sql_id, names[1] AS cte_name FROM (SELECT sql_id, regexp_extract_all({_CLEAN}, '(?i)(?:\bWITH\s+|\)\s*,\s*)([A-Za-z_]\w*)\s+AS\s*\(', 1) AS names FROM extracted_sql WHERE sql IS NOT NULL)
-WHERE len(names) = 1""",
+    "cte_counts": f"SELECT sql_id, len(names)::INT AS total, names[1] AS cte_name FROM ({_CTES}) WHERE len(names) > 0",
+    "ctes": f"SELECT sql_id, names AS cte_names, len(names)::INT AS total, list_sort(list_distinct(names)) AS unique_names, is_recursive, len(names) > 1 AS is_multiple FROM ({_CTES}) WHERE len(names) > 0",
     "line_issues": _ISSUES,
     "spark_scores": f"SELECT *, round(greatest(0.0, least(1.0, 1 - errors * 0.3::DOUBLE - warnings * 0.1::DOUBLE - infos * 0.02::DOUBLE)), 6) AS score FROM ({_TALLY})",
-    "flow_grades": f"""SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade, errors = 0 AS is_compatible
-FROM (SELECT *, greatest(0, 100 - errors * 20 - warnings * 5 - infos) AS score FROM ({_TALLY}))""",
     "migration_summary": """SELECT count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) - count(*) FILTER (success) AS failed,
 round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(avg(CASE WHEN compatibility_score > 0 THEN compatibility_score END), 6) AS avg_score FROM migration_result""",
     "issue_codes": f"SELECT code, count(*) AS hits FROM ({_ISSUES}) GROUP BY code",
-    "rewrite_counts": """SELECT rule, hits FROM (
-SELECT 'register_temp_table' AS rule, sum((length(raw_code) - length(replace(raw_code, '.registerTempTable(', ''))) / 19)::BIGINT AS hits FROM code_file WHERE file_path LIKE '%.py' UNION ALL
-SELECT 'union_all_deprecated', sum((length(raw_code) - length(replace(raw_code, '.unionAll(', ''))) / 10)::BIGINT FROM code_file WHERE file_path LIKE '%.py')""",
+    "rewrite_counts": f"SELECT split_part(c, '=', 1) AS rule, sum(split_part(c, '=', 2)::BIGINT)::BIGINT AS hits FROM (SELECT unnest(string_split(changes, ' ')) AS c FROM ({folded()}) WHERE changes <> '') GROUP BY 1",
     "module_moves": f"""WITH m AS (SELECT module, count(*) AS uses FROM (SELECT unnest(imports).module AS module FROM code_file) GROUP BY module),
 mv(old, new_module) AS (VALUES {", ".join(f"({_lit(a)}, {_lit(b) if b else 'NULL'})" for a, b in MODULE_MOVES)}),
 pr(prefix, provider, o) AS (VALUES {", ".join(f"({_lit(a)}, {_lit(b)}, {i})" for i, (a, b) in enumerate(PROVIDERS))})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["dataops", "profiling", "code", "files", "relational", "catalogs"]
+MODULES = ["dataops", "profiling", "code", "files", "relational", "catalogs", "workflows", "known", "changes"]
 
 
 def _modules() -> list:
