@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .skew import join_per_key
+
 #: Status labels of an inventory (fixed values).
 NEW, KEPT, GONE = "新增", "已有", "删除"
 
@@ -25,11 +29,12 @@ def attributes(df: DataFrame, path: str, content: str) -> DataFrame:
 def duplicate_counts(df: DataFrame, digest: str) -> DataFrame:
     """``df`` with dup_count: rows of the same digest, null where that is null.
 
-    Counted before the shuffle and joined back, so one digest of a third of all
-    rows is no task of its own.
+    Counted before the shuffle; the rows of a digest of a large part of all
+    rows get their count by broadcast and stay where they are.
     """
-    counts = df.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("dup_count"))
-    return df.drop("dup_count").join(counts, digest, "left")
+    rows, there = df.drop("dup_count"), F.col(digest).isNotNull()
+    counts = stage(rows.filter(there).groupBy(digest).agg(F.count("*").alias("dup_count")), "digests")
+    return join_per_key(rows.filter(there), counts, digest, "dup_count").unionByName(rows.filter(~there).withColumn("dup_count", F.lit(None).cast("long")))
 
 
 def glob_regex(pattern: str) -> str:
@@ -87,6 +92,34 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key: str, keep: list[str], to
     )
 
 
+def fold_snapshots(snapshots: list[tuple[DataFrame, Column]], key: str, keep: list[str]) -> DataFrame:
+    """The inventory after scans in order (each with its date), from nothing: see merge_snapshot.
+
+    ``key`` may be a struct of several columns. Kept columns come from the scan
+    that first brought a file. Each step is staged, so plans stay short.
+    """
+    state = None
+    for new, today in snapshots:
+        if state is None:
+            state = new.select(key, F.lit(NEW).alias("status"), "digest", today.alias("updated"), *keep)
+        else:
+            brought = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in keep))
+            merged = merge_snapshot(state, new, key, keep, today).join(brought, key, "left")
+            state = merged.withColumns({c: F.coalesce(c, f"_new_{c}") for c in keep}).drop(*(f"_new_{c}" for c in keep))
+        state = stage(state, "inventory")
+    if state is None:
+        raise ValueError("no snapshots")
+    return state
+
+
+def load_previous(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The inventory that was written before; empty where there is none that can be read."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def keep_latest(df: DataFrame, key: str, at: str, tie: str, n: int) -> DataFrame:
     """The n newest rows of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))

@@ -134,7 +134,7 @@ def verified(backups: DataFrame, texts: DataFrame) -> DataFrame:
 def restored(backups: DataFrame, texts: DataFrame) -> DataFrame:
     """path, text: the originals that intact backups give back."""
     good = verified(backups, texts).filter("is_intact").select("backup_path", "original_path")
-    return good.join(texts.withColumnRenamed("path", "backup_path"), "backup_path").select(F.col("original_path").alias("path"), "text")
+    return good.join(texts.select(F.col("path").alias("backup_path"), "text"), "backup_path").select(F.col("original_path").alias("path"), "text")
 
 
 def _quoted(path: Column) -> Column:

@@ -82,6 +82,10 @@ def scalar_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.agg(*aggs).select(F.inline(rows))
 
 
+#: Characters up to which texts are compared as they are.
+SHORT = 100
+
+
 def _values(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """(column_name, value) of every cell, as text; the table is read once."""
     fields = _simple(df, columns)
@@ -97,22 +101,23 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: distinct values, those that occur once, those that occur more often. Nulls do not count.
 
-    Values are compared by two hashes of 96 bits together, so that only numbers
-    are shuffled; two values of a column would have to agree in both.
+    A column at a time, so that a scan reads only that column and its values
+    are counted before the shuffle. Values are compared as they are; texts of
+    more than SHORT characters by their SHA-256.
     """
-    cells = []
+    found = None
     for f in _simple(df, columns):
         c = _q(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = c + F.lit(0.0)  # one zero
-        cells.append(F.struct(F.lit(f.name).alias("column_name"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h"), F.hash(c).alias("g")))
-    counts = df.select(F.inline(F.array(*cells))).groupBy("column_name", "h", "g").agg(F.count(F.lit(1)).alias("cnt"))
-    there = F.col("h").isNotNull()
-    return counts.groupBy("column_name").agg(
-        F.count_if(there).alias("distinct_count"),
-        F.count_if(there & (F.col("cnt") == 1)).alias("unique_count"),
-        F.count_if(there & (F.col("cnt") > 1)).alias("dup_count"),
-    )
+        if isinstance(f.dataType, T.StringType):
+            c = F.when(F.length(c) <= SHORT, c).otherwise(F.concat(F.lit("\0"), F.sha2(c, 256)))
+        counts = df.select(c.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
+        one = counts.agg(
+            F.lit(f.name).alias("column_name"), F.count("*").alias("distinct_count"), F.count_if(F.col("cnt") == 1).alias("unique_count"), F.count_if(F.col("cnt") > 1).alias("dup_count")
+        )
+        found = one if found is None else found.union(one)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "column_name string, distinct_count long, unique_count long, dup_count long")
+    return found
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
@@ -154,15 +159,35 @@ def sample_columns(df: DataFrame, key: str, n: int = SAMPLE_ROWS) -> DataFrame:
     return numbered.groupBy("column_name").agg(*(F.max(F.when(F.col("_r") == i, F.col("v"))).alias(f"row{i}") for i in range(1, n + 1)))
 
 
-def dictionary(spark: SparkSession, table: str, df: DataFrame) -> DataFrame:
-    """The data dictionary of a DataFrame: names, types, nullability and comments in order."""
+def dictionary(spark: SparkSession, table: str, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The data dictionary of a DataFrame: names, types, nullability and comments in order.
+
+    ``keys`` names the primary key, as a catalog tells it or ``key_columns`` finds it.
+    """
     rows = [
-        (table, i, f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", f.metadata.get("comment"), "NO", type_class(f.dataType))
+        (table, i, f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", f.metadata.get("comment"), "YES" if f.name in (keys or []) else "NO", type_class(f.dataType))
         for i, f in enumerate(df.schema.fields, 1)
     ]
     return spark.createDataFrame(rows, "table_name string, ordinal_position int, column_name string, type_name string, is_nullable string, remarks string, is_primary_key string, type_class string")
 
 
+def key_columns(metrics: DataFrame) -> DataFrame:
+    """column_name of each column of a profile that could be a primary key: no nulls, and every value once."""
+    return metrics.filter("row_count > 0 and null_count = 0 and unique_count = row_count").select("column_name")
+
+
+def catalog_dictionary(columns: DataFrame, keys: DataFrame, comments: DataFrame) -> DataFrame:
+    """The data dictionary from catalog tables: columns (table_name, column_name, ordinal_position, data_type, is_nullable),
+    keys (table_name, column_name) and comments (table_name, column_name, comment); left joins on both."""
+    on = ["table_name", "column_name"]
+    key = keys.select(*on).distinct().withColumn("is_primary_key", F.lit("YES"))
+    return (
+        columns.join(key, on, "left")
+        .join(comments.select(*on, F.col("comment").alias("remarks")), on, "left")
+        .select("table_name", "ordinal_position", "column_name", F.col("data_type").alias("type_name"), "is_nullable", "remarks", F.coalesce("is_primary_key", F.lit("NO")).alias("is_primary_key"))
+    )
+
+
 def parse_describe(rows: DataFrame, order: str) -> DataFrame:
     """DESCRIBE output (col_name, data_type, comment) as a dictionary: blank and # lines skipped, numbered in ``order``."""
     kept = rows.filter((F.trim("col_name") != "") & ~F.col("col_name").startswith("#"))

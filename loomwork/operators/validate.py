@@ -82,3 +82,29 @@ def severity_of(code: Column) -> Column:
 
 def per_code(found: DataFrame, code: str) -> DataFrame:
     return found.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("hits"))
+
+
+#: A lint report as JSON: an array of findings.
+LINT_JSON = "array<struct<filename: string, code: string, message: string, location: struct<row: int, column: int>, fix: struct<applicability: string>>>"
+
+
+def lint_json(reports: DataFrame, column: str) -> DataFrame:
+    """path, row, col, code, message, severity, fixable: findings of JSON reports, one report a row. What is no report has no findings."""
+    found = reports.select(F.inline(F.from_json(column, LINT_JSON)))
+    severity = F.when(F.col("code").rlike("^[EF]"), "error").when(F.col("code").startswith("W"), "warning").otherwise("info")
+    return found.select(
+        F.col("filename").alias("path"), F.col("location.row").alias("row"), F.col("location.column").alias("col"), "code", "message", severity.alias("severity"), F.col("fix").isNotNull().alias("fixable")
+    )
+
+
+def lint_summary(found: DataFrame) -> DataFrame:
+    """path, findings, errors, warnings, infos, fixable, codes (in order), score and grade of each file of lint findings."""
+    counts = found.groupBy("path").agg(F.count("*").alias("findings"), F.count_if("fixable").alias("fixable"), F.array_sort(F.collect_set("code")).alias("codes"))
+    return counts.join(lint_score(tally(found, "path")), "path")
+
+
+def lint_text(found: DataFrame) -> DataFrame:
+    """path, text: the findings of each file as lines ``row:col code message`` under its name."""
+    line = F.concat(F.lit("  "), F.col("row").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit(" "), "code", F.lit(" "), "message")
+    lines = F.array_sort(F.collect_list(F.struct("row", "col", line.alias("line"))))
+    return found.groupBy("path").agg(lines.alias("l")).select("path", F.concat_ws("\n", "path", F.transform("l", lambda x: x["line"])).alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import file_key
 from ..operators import backfill, generate, inventory
-from ..session import table, work_path
+from ..session import stage, table, work_path
 from ..sources import files as sources
 
 
@@ -26,16 +26,14 @@ def selected_files(spark: SparkSession, d: str) -> DataFrame:
     return inventory.select_files(t, "path", "*.py; *.sql", "*copy*; dags/").select("list_id", "path")
 
 
-def _snapshot(t: DataFrame, no: int) -> DataFrame:
-    key = file_key(F.col("文件目录"), F.col("文件名")).alias("file_key")
-    return t.filter(F.col("snapshot_no") == no).select(key, F.lower("文件md5").alias("digest"), "list_id").groupBy("file_key").agg(F.max_by("digest", "list_id").alias("digest"))
-
-
 def merged_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """The inventory of the first snapshot after the scan of the second, as delivered."""
-    t = table(spark, d, "file_list")
-    old = _snapshot(t, 1).withColumns({"status": F.lit(inventory.KEPT), "updated": F.lit("20250310"), "tag": F.substring("digest", 1, 2)})
-    return inventory.merge_snapshot(old, _snapshot(t, 2), "file_key", ["tag"], F.lit("20250317"))
+    """The inventory after the scans of all snapshots in order, as delivered; a file is one of a repository."""
+    path = file_key(F.col("文件目录"), F.col("文件名"))
+    t = table(spark, d, "file_list").select("snapshot_no", F.concat_ws(":", F.col("repo_id").cast("string"), path).alias("file_key"), F.lower("文件md5").alias("digest"), "list_id")
+    held = stage(t.groupBy("snapshot_no", "file_key").agg(F.max_by("digest", "list_id").alias("digest")), "snapshots")
+    numbers = sorted(r[0] for r in held.select("snapshot_no").distinct().collect())  # eight
+    scans = [(held.filter(F.col("snapshot_no") == n).withColumn("tag", F.substring("digest", 1, 2)), F.lit(f"scan {n}")) for n in numbers]
+    return inventory.fold_snapshots(scans, "file_key", ["tag"])
 
 
 def inventory_status(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +65,8 @@ def original_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verified(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "code_file").filter("raw_code is not null").select("file_id", "raw_code", F.upper(F.sha2("raw_code", 256)).alias("digest"))
+    """Contents against the digests of what was backed up: in every third file a blank was added since."""
+    t = table(spark, d, "code_file").filter("raw_code is not null").select("file_id", "raw_code", F.upper(F.sha2(F.when(F.col("file_id") % 3 == 0, F.concat("raw_code", F.lit(" "))).otherwise(F.col("raw_code")), 256)).alias("digest"))
     return inventory.verify(t, "raw_code", "digest").groupBy("intact").agg(F.count("*").alias("files"))
 
 
@@ -131,11 +130,11 @@ def written_and_read(spark: SparkSession, d: str) -> DataFrame:
 _DIR = """regexp_replace(file_path, '/[^/]*$', '')"""
 _NAME = """regexp_extract(file_path, '[^/]*$')"""
 _KEY = r"""regexp_replace(translate(coalesce("文件目录", '') || '/' || "文件名", '\', '/'), '/+', '/', 'g')"""
-_SNAP = 'SELECT file_key, digest FROM (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY list_id DESC) AS rn FROM (SELECT ' + _KEY + ' AS file_key, lower("文件md5") AS digest, list_id FROM file_list WHERE snapshot_no = {n})) WHERE rn = 1'
-_MERGED = f"""
-SELECT coalesce(o.file_key, n.file_key) AS file_key, CASE WHEN n.file_key IS NULL THEN '删除' WHEN o.file_key IS NULL THEN '新增' ELSE '已有' END AS status,
-  coalesce(n.digest, o.digest) AS digest, CASE WHEN n.file_key IS NOT NULL AND o.file_key IS NOT NULL THEN '20250310' ELSE '20250317' END AS updated, substr(o.digest, 1, 2) AS tag
-FROM ({_SNAP.format(n=1)}) o FULL JOIN ({_SNAP.format(n=2)}) n ON o.file_key = n.file_key"""
+_MERGED = rf"""WITH p AS (SELECT snapshot_no AS n, repo_id || ':' || {_KEY} AS file_key, arg_max(lower("文件md5"), list_id) AS digest FROM file_list GROUP BY 1, 2),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY file_key ORDER BY n) AS island, max(n) OVER () AS m, max(n) OVER (PARTITION BY file_key) AS last FROM p),
+s AS (SELECT *, min(n) OVER (PARTITION BY file_key, island) AS start FROM i)
+SELECT file_key, CASE WHEN last < m THEN '删除' WHEN last_start = m THEN '新增' ELSE '已有' END AS status, digest, 'scan ' || CASE WHEN last < m THEN m ELSE last_start END AS updated, left(tag, 2) AS tag
+FROM (SELECT file_key, any_value(m) AS m, any_value(last) AS last, max(start) AS last_start, arg_max(digest, n) AS digest, arg_min(digest, n) AS tag FROM s GROUP BY file_key)"""
 _SCRIPT = f"""SELECT file_path, raw_code AS content, '/' || regexp_replace({_DIR}, '^/srv/git/?', '') AS directory, regexp_replace({_NAME}, '\\.[^.]*$', '') AS name
 FROM code_file WHERE file_path LIKE '%.sql' AND raw_code IS NOT NULL"""
 
@@ -159,7 +158,7 @@ AND NOT regexp_matches(path, '(?:^|/)[^/]*copy[^/]*$') AND NOT regexp_matches(pa
     "old_backups": "SELECT result_id FROM migration_result WHERE run_at < TIMESTAMP '2025-04-01 00:00:00'",
     "backup_stats": "SELECT count(*) AS backups, sum(length(backup_path))::BIGINT AS total_size, min(run_at) AS oldest, max(run_at) AS newest, count(DISTINCT file_path) AS files FROM migration_result WHERE backup_path IS NOT NULL",
     "original_names": "SELECT event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '.py' ELSE '' END AS original FROM events",
-    "verified": "SELECT true AS intact, count(*) AS files FROM code_file WHERE raw_code IS NOT NULL",
+    "verified": "SELECT file_id % 3 <> 0 AS intact, count(*) AS files FROM code_file WHERE raw_code IS NOT NULL GROUP BY 1",
     "cases": """WITH t AS (SELECT *, lpad(s_suppkey::VARCHAR, 9, '0') AS k, row_number() OVER (ORDER BY lpad(s_suppkey::VARCHAR, 9, '0')) AS task_index, trunc(s_acctbal)::INT AS b FROM supplier)
 SELECT task_index * 2 - 1 AS index, task_index, (task_index * 2 - 1) || ' load ' || s_name AS title, 'run ' || k || ' of ' || s_nationkey AS steps, 'ok' AS expected FROM t UNION ALL
 SELECT task_index * 2, task_index, (task_index * 2) || ' check ' || s_name, 'compare ' || b, 'no ' FROM t""",
