@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import content_id, file_key
 from ..session import work_path
+from .skew import bounded
 
 #: Rows of the target, whatever else a run computes from them.
 TARGET = T.StructType(
@@ -99,10 +100,14 @@ class Target:
         return self.spark.read.schema(TARGET).parquet(*[f"{self.path}/data/{p}" for p in parts])
 
     def current(self, state: dict | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """Newest version of each key, or of the keys (column file_key) that are asked for."""
+        """Newest version of each key, or of the keys (column file_key) that are asked for.
+
+        Up to MOST_ROWS asked keys, counted, go to the target's rows by
+        broadcast, so that of the target only their rows are shuffled.
+        """
         rows = self.read(state)
         return (
-            (rows if keys is None else rows.join(keys.select("file_key"), "file_key", "left_semi"))
+            (rows if keys is None else rows.join(bounded(keys.select("file_key")), "file_key", "left_semi"))
             .groupBy("file_key")
             .agg(F.max(F.struct("run_ix", "version")).alias("s"))
             .select("file_key", F.col("s.version").alias("version"))
