@@ -86,14 +86,18 @@ _COUNTS = """
 SELECT a, b, c, raw, count_if(NOT last AND NOT stop) AS goes_on, count_if(NOT last AND stop) AS ends, count_if(last) AS finals, count_if(own) AS own
 FROM {trigrams} GROUP BY a, b, c, raw"""
 
+#: The same for a shorter {key}.
+_SHORTER = """
+SELECT {key}c, raw, sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) AS finals, sum(own) AS own FROM {counts} GROUP BY {key}c, raw"""
+
 #: Evidence for the distinct final words after the same {key}: what the same class of word does elsewhere (finals:
 #: other texts), and the uses of longer words of which the final word is the beginning (beginnings as long as some final word).
 _LEVEL = """
-WITH f AS (SELECT {key}c, raw, sum(own) AS own FROM {counts} GROUP BY {key}c, raw HAVING sum(own) > 0),
+WITH f AS (SELECT {key}c, raw, own FROM {counts} WHERE own > 0),
 same AS (SELECT {key}c, sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) AS finals FROM {counts} GROUP BY {key}c),
 pieces AS (SELECT {key}raw, sum(goes_on + ends) AS uses FROM {counts} GROUP BY {key}raw),
 longer AS (SELECT {key}substr(raw, 1, n) AS raw, sum(uses) AS longer
-  FROM (SELECT *, (SELECT collect_set(length(raw)) FROM {counts} WHERE own > 0) AS lengths FROM pieces WHERE length(raw) > 1 AND uses > 0)
+  FROM (SELECT *, (SELECT collect_set(length(raw)) FROM {words} WHERE own > 0) AS lengths FROM pieces WHERE length(raw) > 1 AND uses > 0)
   LATERAL VIEW explode(filter(lengths, n -> n < length(raw))) AS n GROUP BY {key}substr(raw, 1, n))
 SELECT /*+ MERGE(f, same, longer, pieces) */ f.*, same.goes_on, same.ends, same.finals - 1 AS finals, coalesce(longer.longer, 0) AS longer, coalesce(pieces.uses, 0) AS uses
 FROM f JOIN same USING ({key}c) LEFT JOIN longer USING ({key}raw) LEFT JOIN pieces USING ({key}raw)"""
@@ -114,7 +118,7 @@ SELECT struct(a, b, c, raw) AS t, n, l3.goes_on, l3.ends, l3.finals, l3.longer,
   coalesce(CASE {_PIECE} WHEN NOT CASE {_ends_rarely("l1")} ELSE false END THEN false {_BY_COUNTS} END, false) AS after_stop -- does the word end sentences
 FROM (
   SELECT /*+ MERGE(x, y, z) */ f.a, f.b, f.c, f.raw, f.own AS n, struct(x.*) AS l3, struct(y.*) AS l2, struct(z.*) AS l1,
-    (SELECT struct(sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) - 1 AS finals, 0 AS longer) FROM {{counts}} WHERE startswith(c, '{CODE}')) AS code
+    (SELECT struct(sum(goes_on) AS goes_on, sum(ends) AS ends, sum(finals) - 1 AS finals, 0 AS longer) FROM {{words}} WHERE startswith(c, '{CODE}')) AS code
   FROM (SELECT * FROM {{counts}} WHERE own > 0) f
   LEFT JOIN {{l3}} x ON f.a = x.a AND f.b = x.b AND f.c = x.c AND f.raw = x.raw
   LEFT JOIN {{l2}} y ON f.b = y.b AND f.c = y.c AND f.raw = y.raw
@@ -140,8 +144,11 @@ def judged(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     placed = _sql(spark, _PLACED, words=_sql(spark, _WORDS, docs=named))
     classed = stage(_sql(spark, _CLASSED, placed=placed), "words")
     counts = stage(_sql(spark, _COUNTS, trigrams=_sql(spark, _TRIGRAMS, classed=classed)), "trigrams")
-    level = lambda key: _sql(spark, _LEVEL.replace("{key}", key), counts=counts)
-    decided = stage(_sql(spark, _DECIDED, counts=counts, l3=level("a, b, "), l2=level("b, "), l1=level("")), "decided")
+    pairs = stage(_sql(spark, _SHORTER.replace("{key}", "b, "), counts=counts), "pairs")
+    single = stage(_sql(spark, _SHORTER.replace("{key}", ""), counts=pairs), "single")
+    level = lambda key, c: _sql(spark, _LEVEL.replace("{key}", key), counts=c, words=single)
+    levels = {"l3": level("a, b, ", counts), "l2": level("b, ", pairs), "l1": level("", single)}
+    decided = stage(_sql(spark, _DECIDED, counts=counts, words=single, **levels), "decided")
     cut = ~F.col("closed") & F.when(F.col("stop"), F.col("after_stop")).otherwise(F.col("mid"))
     return join_per_key(_sql(spark, _FINALS, classed=classed), decided, "t", "n").select(
         "id", "source", "t.a", "t.b", "t.raw", "goes_on", "ends", "finals", "longer", cut.alias("cut")
