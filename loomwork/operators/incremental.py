@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import content_id, file_key
 from ..session import work_path
-from .skew import bounded
+from .skew import MOST_ROWS, bounded
 
 #: Rows of the target, whatever else a run computes from them.
 TARGET = T.StructType(
@@ -102,12 +102,11 @@ class Target:
     def current(self, state: dict | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Newest version of each key, or of the keys (column file_key) that are asked for.
 
-        Up to MOST_ROWS asked keys, counted, go to the target's rows by
-        broadcast, so that of the target only their rows are shuffled.
+        Where ``keys`` may be broadcast, only their rows of the target are shuffled.
         """
         rows = self.read(state)
         return (
-            (rows if keys is None else rows.join(bounded(keys.select("file_key")), "file_key", "left_semi"))
+            (rows if keys is None else rows.join(keys, "file_key", "left_semi"))
             .groupBy("file_key")
             .agg(F.max(F.struct("run_ix", "version")).alias("s"))
             .select("file_key", F.col("s.version").alias("version"))
@@ -150,13 +149,14 @@ def lines_by_run(lines: DataFrame, runs: list[tuple]) -> DataFrame:
     return spark.read.schema(placed.schema).parquet(path)
 
 
-def advance(target: Target, lines: DataFrame, runs: list[tuple], ix: int, state: dict | None = None) -> dict:
+def advance(target: Target, lines: DataFrame, runs: list[tuple], ix: int, state: dict | None = None, rows: int | None = None) -> dict:
     """Take run ``ix`` into the target: one run, one new version of it.
 
     Of each key among the run's new lines only the newest line counts. It is due
     unless the target's current version of the key is the same, which the
     anti-join removes. Deliveries again, moved dates and failed runs in between
-    change nothing. ``lines``: see lines_by_run.
+    change nothing. ``lines``: see lines_by_run; ``rows``: how many of them the
+    run has, if that was counted.
     """
     state = state or target.manifest()
     fresh = lines.filter(F.col("run_ix") == ix)
@@ -165,7 +165,9 @@ def advance(target: Target, lines: DataFrame, runs: list[tuple], ix: int, state:
         .agg(F.max(F.struct("arrived_at", "feed_id", "version")).alias("s"))
         .select(F.lit(runs[ix][1]).cast("int").alias("run_no"), F.lit(ix).cast("long").alias("run_ix"), "file_key", F.col("s.version").alias("version"))
     )
-    held = target.current(state, fresh) if state["parts"] else None
+    asked = fresh.select("file_key")
+    asked = bounded(asked) if rows is None else F.broadcast(asked) if rows <= MOST_ROWS else asked.hint("merge")
+    held = target.current(state, asked) if state["parts"] else None
     due = newest if held is None else newest.join(held, ["file_key", "version"], "left_anti")
     return target.publish(due.select(*TARGET.names), ix, state)
 
@@ -181,6 +183,8 @@ def replay(feed: DataFrame, runs: DataFrame, target: Target, upto: int | None =
     last = len(order) - 1 if upto is None else min(upto, len(order) - 1)
     if state["last_ix"] < last:
         lines = lines_by_run(feed_lines(feed), order)
+        rows = {r["run_ix"]: r["count"] for r in lines.groupBy("run_ix").count().collect()}  # one for each run, MOST_RUNS at most
         while state["last_ix"] < last:
-            state = advance(target, lines, order, state["last_ix"] + 1, state)
+            ix = state["last_ix"] + 1
+            state = advance(target, lines, order, ix, state, rows.get(ix, 0))
     return target.read(state)
