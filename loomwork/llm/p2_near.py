@@ -25,7 +25,7 @@ from ..session import stage
 #: Minhashes in a half key, and half keys in each of the two collections.
 WIDTH, SIDE = 3, 16
 #: Rows of a table key or class that one task compares with each other; larger ones are spread over squares of tasks.
-BUCKET = 2000
+BUCKET = 5000
 
 
 def word_pairs(df: DataFrame, row_id: str, text: str, least_words: int = 15) -> DataFrame:
