@@ -168,3 +168,16 @@ def summary(files: DataFrame, statements: DataFrame, path: str) -> DataFrame:
     return files.select(path).distinct().join(per, path, "left").agg(
         F.count("*").alias("files"), F.count("n").alias("with_sql"), (F.count("*") - F.count("n")).alias("without_sql"), F.coalesce(F.sum("n"), F.lit(0)).alias("statements")
     )
+
+
+def outcomes(files: DataFrame, path: str, text: str) -> DataFrame:
+    """One row: files of a directory, with and without SQL, skipped (extensions that hold none), errors (no text), statements."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    kinds = files.select(F.col(path).alias("path"), F.col(text).alias("text"), ext.isin("sql", "hql", "py", "sh").alias("taken"))
+    found = extract(kinds.filter("taken"), "path", "text").groupBy("source_file").agg(F.count("*").alias("n"))
+    per = kinds.join(found.withColumnRenamed("source_file", "path"), "path", "left")
+    good = F.col("taken") & F.col("text").isNotNull()
+    return per.agg(
+        F.count("*").alias("files"), F.count_if(good & F.col("n").isNotNull()).alias("with_sql"), F.count_if(good & F.col("n").isNull()).alias("without_sql"),
+        F.count_if(~F.col("taken")).alias("skipped"), F.count_if(F.col("taken") & F.col("text").isNull()).alias("errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("statements"),
+    )

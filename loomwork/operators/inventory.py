@@ -13,19 +13,35 @@ from .skew import join_per_key
 NEW, KEPT, GONE = "新增", "已有", "删除"
 
 
-def attributes(df: DataFrame, path: str, content: str) -> DataFrame:
-    """Directory, name, extension without dot, size in MB (two places) and md5 of each file."""
+def attributes(df: DataFrame, path: str, content: str, created: str | None = None, modified: str | None = None) -> DataFrame:
+    """Directory, name, extension without dot, size in MB (two places) and md5 of each file; with its times as text where they are given."""
     p, c = F.col(path), F.col(content)
     name = F.element_at(F.split(p, "/"), -1)
+    dates = [F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias(n) for n, at in (("created", created), ("modified", modified)) if at]
     return df.select(
         F.regexp_replace(p, "/[^/]*$", "").alias("directory"),
         name.alias("name"),
         F.regexp_extract(name, r"\.([^.]*)$", 1).alias("extension"),
         F.round(F.octet_length(c) / 1048576.0, 2).alias("size_mb"),
+        *dates,
         F.md5(c).alias("md5"),
     )
 
 
+def size_text(size: Column) -> Column:
+    """A number of bytes in B, KB, MB or GB, with one place from KB on, halves up."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        n = 1024**power
+        out = F.when(size >= n, F.concat(F.format_string("%.1f", F.floor(size * 10 / n + 0.5) / 10), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def newest_first(backups: DataFrame, original: str, at: str) -> DataFrame:
+    """Backups with their place in the list of their file, newest first (ordinal)."""
+    return backups.withColumn("ordinal", F.row_number().over(Window.partitionBy(original).orderBy(F.desc(at))))
+
+
 def duplicate_counts(df: DataFrame, digest: str) -> DataFrame:
     """``df`` with dup_count: rows of the same digest, null where that is null.
 

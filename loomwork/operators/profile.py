@@ -222,3 +222,10 @@ def next_status(status: Column, failed: Column) -> Column:
     """Status after a run: todo and again become done, or error where it failed; others stay."""
     due = status.isin(STATUS["todo"], STATUS["again"])
     return F.when(due & failed, STATUS["error"]).when(due, STATUS["done"]).otherwise(status)
+
+
+def entropy(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, entropy in bits of the values of a column, nulls aside: of their counts, so that no group's rows meet in one task."""
+    counts = df.filter(_q(column).isNotNull()).groupBy(*keys, _q(column).alias("_v")).agg(F.count("*").alias("_n"))
+    n = F.sum("_n")
+    return counts.groupBy(*keys).agg((F.log2(n) - F.sum(F.col("_n") * F.log2("_n")) / n).alias("entropy"))

@@ -108,3 +108,10 @@ def lint_text(found: DataFrame) -> DataFrame:
     line = F.concat(F.lit("  "), F.col("row").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit(" "), "code", F.lit(" "), "message")
     lines = F.array_sort(F.collect_list(F.struct("row", "col", line.alias("line"))))
     return found.groupBy("path").agg(lines.alias("l")).select("path", F.concat_ws("\n", "path", F.transform("l", lambda x: x["line"])).alias("text"))
+
+
+def star_imports(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no, module of every ``from module import *``."""
+    lines = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_l"))
+    module = F.regexp_extract("_l", r"^\s*from\s+([\w.]+)\s+import\s+\*", 1)
+    return lines.select(key, (F.col("_i") + 1).alias("line_no"), module.alias("module")).filter("module <> ''")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
-from ..operators import classify, extract, facts, lineage, rewrite
-from ..session import spread, table
+from ..operators import classify, extract, facts, generate, inventory, lineage, profile, rewrite, validate
+from ..session import spread, table, work_path
+from ..sources import files as sources
 from .code import _TABLES, folded
 from .workflows import _values
 
@@ -96,7 +97,55 @@ def rewritten_files(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.fold(src, "raw_code").select("file_id", F.md5("rewritten").alias("digest"), names("changes").alias("changes"), names("warnings").alias("warnings"))
 
 
-QUERIES = {f.__name__: f for f in (known_statements, known_summary, known_facts, known_evidence, known_variables, known_tables, known_listing, known_ctes, file_lineage, rewritten_files)}
+def star_imports(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "code_file").filter("file_path like '%.py'").select("file_id", "raw_code")
+    known = spark.createDataFrame([(-1, "from a.b import *\nfrom c import d\n    from e import  * # x")], "file_id long, raw_code string")
+    return validate.star_imports(files.union(known), "file_id", "raw_code")
+
+
+def value_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy of the kinds of events of each user."""
+    return profile.entropy(table(spark, d, "events"), ["user_id"], "event_type").withColumn("entropy", F.round("entropy", 6))
+
+
+def extract_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Files by what became of them; the known files, and as many that hold no SQL as there are JSON files."""
+    files = table(spark, d, "code_file").filter("file_path like '%.json'").select(F.col("file_path").alias("path"), F.col("raw_code").alias("text"))
+    return extract.outcomes(files.union(_known(spark).select("path", "text")), "path", "text")
+
+
+def escaped_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Script documents whose content is escaped twice, read back once."""
+    files = table(spark, d, "code_file").filter("file_path like '%.sql' and raw_code is not null")
+    got = generate.scripts(files, "file_path", "raw_code", "/srv/git", {"owner": "etl"}, twice=True)
+    return got.select("file_path", F.md5(F.get_json_object("document", "$.content")).alias("digest"))
+
+
+def mirrored_files(spark: SparkSession, d: str) -> DataFrame:
+    """JSON and shell files written as a mirrored tree under another suffix, and read back."""
+    path = work_path(spark, "mirror")
+    sources.write_mirrored(table(spark, d, "code_file").filter("file_path rlike '\\\\.(json|sh)$'"), "file_path", "raw_code", "/srv/git", path, ".script")
+    return sources.read_mirrored(spark, path).select("folder", "name", F.md5("text").alias("digest"))
+
+
+def dated_attributes(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "code_file").filter("raw_code is not null and read_at is not null")
+    got = inventory.attributes(files, "file_path", "raw_code", modified="read_at")
+    return got.select("directory", "name", "modified")
+
+
+def size_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", (F.col("n_chars") * F.pow(F.lit(10), F.col("doc_id") % 8)).cast("long").alias("size"))
+    return t.select("doc_id", inventory.size_text(F.col("size")).alias("size"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        known_statements, known_summary, known_facts, known_evidence, known_variables, known_tables, known_listing, known_ctes, file_lineage, rewritten_files, star_imports,
+        value_entropy, extract_outcomes, escaped_scripts, mirrored_files, dated_attributes, size_texts,
+    )
+}
 _C_CASE = "with c as (select ')' y from db.three), d as (select 1), e as (select * from c) select * from c join e on 1 = 1"
 _CHANGES = [
     *(("api", c, o, n, v, None, False, True) for c, o, n, v in C.API_CHANGES),
@@ -121,6 +170,19 @@ SQL = {
         ],
     ),
     "known_summary": _values("files, with_sql, without_sql, statements", [(5, 3, 2, 7)]),
+    "star_imports": r"""SELECT file_id, line_no::INT AS line_no, module FROM (SELECT file_id, line_no, regexp_extract(l, '^\s*from\s+([\w.]+)\s+import\s+\*', 1) AS module FROM (
+SELECT file_id, unnest(string_split(raw_code, chr(10))) AS l, generate_subscripts(string_split(raw_code, chr(10)), 1) AS line_no FROM code_file WHERE file_path LIKE '%.py')) WHERE module <> ''
+UNION ALL SELECT -1, 1, 'a.b' UNION ALL SELECT -1, 3, 'e'""",
+    "value_entropy": "SELECT user_id, round(entropy(event_type), 6) AS entropy FROM events GROUP BY user_id",
+    "extract_outcomes": "SELECT n + 6 AS files, 3 AS with_sql, 2 AS without_sql, n AS skipped, 1 AS errors, 7 AS statements FROM (SELECT count(*) AS n FROM code_file WHERE file_path LIKE '%.json')",
+    "escaped_scripts": r"""SELECT file_path, md5(replace(replace(replace(replace(replace(raw_code, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), ''), chr(9), '\t')) AS digest
+FROM code_file WHERE file_path LIKE '%.sql' AND raw_code IS NOT NULL""",
+    "mirrored_files": r"""SELECT coalesce(nullif(regexp_replace(p, '/?[^/]*$', ''), ''), '.') AS folder, regexp_replace(regexp_extract(p, '[^/]*$'), '\.[^.]*$', '') || '.script' AS name, md5(raw_code) AS digest
+FROM (SELECT regexp_replace(file_path, '^/srv/git/?', '') AS p, raw_code FROM code_file WHERE regexp_matches(file_path, '\.(json|sh)$') AND trim(raw_code) <> '')""",
+    "dated_attributes": r"""SELECT regexp_replace(file_path, '/[^/]*$', '') AS directory, regexp_extract(file_path, '[^/]*$') AS name, strftime(read_at, '%Y-%m-%d %H:%M:%S') AS modified
+FROM code_file WHERE raw_code IS NOT NULL AND read_at IS NOT NULL""",
+    "size_texts": """SELECT doc_id, CASE WHEN s >= 1073741824 THEN printf('%.1f GB', floor(s * 10 / 1073741824 + 0.5) / 10) WHEN s >= 1048576 THEN printf('%.1f MB', floor(s * 10 / 1048576 + 0.5) / 10) WHEN s >= 1024 THEN printf('%.1f KB', floor(s * 10 / 1024 + 0.5) / 10) ELSE s || ' B' END AS size
+FROM (SELECT doc_id, (n_chars * power(10, doc_id % 8))::BIGINT AS s FROM documents WHERE doc_id IS NOT NULL)""",
     "known_facts": _values(
         '"key", kind, name, detail, line_no',
         [

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +101,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log(message: str) -> str:
+    """Print a message with the time before it, and return the line."""
+    line = f"{time.strftime('%Y-%m-%d %H:%M:%S')} {message}"
+    print(line, file=sys.stderr)
+    return line

@@ -78,3 +78,22 @@ def write_statements(statements: DataFrame, path: str, kind: str = "json") -> No
         by_file.repartition("file").sortWithinPartitions("file", "line_start").select("file", F.concat(head, "sql", tail).alias("value")).write.partitionBy("file").text(path)
     else:
         raise ValueError(f"no such kind of output: {kind}")
+
+
+def write_mirrored(files: DataFrame, path: str, text: str, root: str, into: str, suffix: str | None = None, skip_empty: bool = True) -> None:
+    """Texts below ``into`` in the tree of their paths below ``root``: a folder for each directory and name, under another suffix if told.
+
+    Texts are JSON strings, one a line, so that line ends survive. ``skip_empty`` leaves out null and blank texts.
+    """
+    kept = files.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "") if skip_empty else files
+    below = F.regexp_replace(F.col(path), "^" + root.rstrip("/") + "/?", "")
+    name = F.element_at(F.split(below, "/"), -1)
+    new = F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(suffix)) if suffix else name
+    folder = F.coalesce(F.nullif(F.regexp_replace(below, "/?[^/]*$", ""), F.lit("")), F.lit("."))
+    kept.select(folder.alias("folder"), new.alias("name"), F.to_json(F.struct(F.col(text).alias("text"))).alias("value")).write.partitionBy("folder", "name").text(into)
+
+
+def read_mirrored(spark: SparkSession, into: str) -> DataFrame:
+    """folder, name, text of what write_mirrored wrote."""
+    got = spark.read.schema("value string, folder string, name string").text(into)
+    return got.select("folder", "name", F.from_json("value", "text string")["text"].alias("text"))

@@ -59,3 +59,18 @@ def test_scripts_raise_and_limit(spark):
         scripts.run_script(spark, "select * from no_such_table")
     scripts.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM statements_of('select 1; select 2')").collect()] == [(1, "select 1"), (2, "select 2")]
+
+
+def test_entropy_sizes_mirrors_and_logs(spark, tmp_path, capsys):
+    from loomwork.operators import inventory, profile
+    from loomwork.session import log
+    from loomwork.sources import files
+
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", None), ("c", None)], "k string, v string")
+    assert {r.k: r.entropy for r in profile.entropy(df, ["k"], "v").collect()} == {"a": 1.0, "b": 0.0}
+    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (5 * 1024**2,), (3 * 1024**3,), (None,)], "s long")
+    assert [r[0] for r in sizes.select(inventory.size_text(F.col("s"))).collect()] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 GB", None]
+    src = spark.createDataFrame([("/r/a/b.sql", "x\r\n\ny"), ("/r/c.sql", "1"), ("/r/d.sql", " "), ("/r/e.sql", None)], "p string, t string")
+    files.write_mirrored(src, "p", "t", "/r", str(tmp_path / "m"), ".script")
+    assert sorted(map(tuple, files.read_mirrored(spark, str(tmp_path / "m")).collect())) == [(".", "c.script", "1"), ("a", "b.script", "x\r\n\ny")]
+    assert log("done").endswith(" done") and "done" in capsys.readouterr().err
