@@ -58,6 +58,8 @@ CAMEL_END = re.compile(
 #: Camel-case names that end in Key are keys of rows as often as secrets; only these stems count.
 KEY_STEM = re.compile(r"(?i)(?:access|shared|api|secret|account|private|sign|signing|auth|client|encryption|master|storage)[._-]?key\d*$")
 SOFT_NAME = re.compile(r"(?i)(?:auth|tok|token|cred|creds|credential|credentials|login|sig|salt|seed|key[._-]?text|pw)\d*$")
+#: A line end or tab written as an escape, as in a script within a JSON text: what follows begins anew.
+WRITTEN = r"(?<=\\[nrt])"
 PLACEHOLDER = re.compile(
     r"(?ix)^(?: [x*.#?_\-•]+ | <[^>]*> | \[[^\]]*\] | \{\{.*\}\} | \$\{[^}]*\} | \$\([^)]*\) | \$[A-Za-z_]\w* | %\([^)]*\)s | %[A-Za-z_]+% | \{\w*\}"
     r" | @[A-Za-z_.]+@ | :\w+ | (?:your|my|the|some|any|enter|insert|change|replace|put|todo|fixme)[ _-]?.* | change[_-]?me | example.* | sample.* | dummy.* | placeholder.*"
@@ -65,12 +67,12 @@ PLACEHOLDER = re.compile(
     r" | (?:pass(?:word)?|token|secret|key)[_-]?(?:here|placeholder|value) | not[_-]?set | unset | empty | default | ENC\(.*\) | vault:.* | env:.* | file:.* | secretsmanager:.* | arn:.* )$"
 )
 TOKEN = re.compile(
-    r"""(?x)(?<![A-Za-z0-9_])(?:
-      gh[pousr]_[A-Za-z0-9]{30,} | github_pat_[A-Za-z0-9_]{40,} | gl(?:pat|dt|rt|soat|cbt|ptt)-[A-Za-z0-9_\-]{16,}
-    | xox[abeoprs]-[A-Za-z0-9\-]{12,} | xapp-[A-Za-z0-9\-]{16,} | dapi[0-9a-f]{30,}(?:-\d)? | dop_v1_[0-9a-f]{60,} | dkea[0-9a-f]{30,}
-    | AKIA[0-9A-Z]{16} | ASIA[0-9A-Z]{16} | AIza[A-Za-z0-9_\-]{35} | ya29\.[A-Za-z0-9_\-]{20,} | [sr]k_(?:live|test)_[A-Za-z0-9]{16,}
-    | sk-(?:[a-z]+-)?[A-Za-z0-9_\-]{20,} | npm_[A-Za-z0-9]{30,} | pypi-[A-Za-z0-9_\-]{40,} | hf_[A-Za-z0-9]{30,} | SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}
-    | shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32} | hvs\.[A-Za-z0-9_\-]{20,} | eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}
+    rf"""(?x)(?:(?<![A-Za-z0-9_])|{WRITTEN})(?:
+      gh[pousr]_[A-Za-z0-9]{{30,}} | github_pat_[A-Za-z0-9_]{{40,}} | gl(?:pat|dt|rt|soat|cbt|ptt)-[A-Za-z0-9_\-]{{16,}}
+    | xox[abeoprs]-[A-Za-z0-9\-]{{12,}} | xapp-[A-Za-z0-9\-]{{16,}} | dapi[0-9a-f]{{30,}}(?:-\d)? | dop_v1_[0-9a-f]{{60,}} | dkea[0-9a-f]{{30,}}
+    | AKIA[0-9A-Z]{{16}} | ASIA[0-9A-Z]{{16}} | AIza[A-Za-z0-9_\-]{{35}} | ya29\.[A-Za-z0-9_\-]{{20,}} | [sr]k_(?:live|test)_[A-Za-z0-9]{{16,}}
+    | sk-(?:[a-z]+-)?[A-Za-z0-9_\-]{{20,}} | npm_[A-Za-z0-9]{{30,}} | pypi-[A-Za-z0-9_\-]{{40,}} | hf_[A-Za-z0-9]{{30,}} | SG\.[A-Za-z0-9_\-]{{16,}}\.[A-Za-z0-9_\-]{{16,}}
+    | shp(?:at|ca|pa|ss)_[0-9a-fA-F]{{32}} | hvs\.[A-Za-z0-9_\-]{{20,}} | eyJ[A-Za-z0-9_\-]{{8,}}\.eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}
     )"""
 )
 KEY_OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d")
@@ -78,7 +80,7 @@ KEY_CLOSE = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|Pri
 URL_LOGIN = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s/:@'\"<>]*:([^\s/@'\"<>]+)@[\w\[]")
 URL_ARG = re.compile(rf"(?i)[?&;](?:[\w.\-]*[._\-])?(?:{SECRET_NAME})=([^&;\s'\"<>]+)")
 PAIR_IN_TEXT = re.compile(
-    r"(?i)(?<![A-Za-z0-9])(AccountKey|SharedAccessKey|SharedSecret|Password|Pwd|SharedAccessSignature|secret|token|aws_secret_access_key|secret_key|secret_access_key|access_key)=([^;&\s'\",)]+)"
+    rf"(?i)(?:(?<![A-Za-z0-9])|{WRITTEN})(AccountKey|SharedAccessKey|SharedSecret|Password|Pwd|SharedAccessSignature|secret|token|aws_secret_access_key|secret_key|secret_access_key|access_key)=([^;&\s'\",)]+)"
 )
 HEADER = re.compile(
     r"(?i)\b(?:(?:proxy-)?authorization['\"]?\s*[:=,]\s*['\"]?\s*(?:bearer|token|basic)\s+|(?<=['\"])(?:bearer|basic)\s+|x-[a-z\-]*(?:key|token|auth|secret)['\"]?\s*[:=]\s*['\"]?)([A-Za-z0-9+/=_.\-~]{6,})"
@@ -86,7 +88,7 @@ HEADER = re.compile(
 FLAG = re.compile(
     r"""(?x)(?:
       (?:^|[\s"'`;|&(]) -u [ ]? ["']? [\w.@\-]+ : (?P<a>[^\s"'@/]+) ["']? (?=\s)
-    | \b(?:mysql|mysqldump|mysqladmin|beeline|impala-shell|sshpass|mongo|sqoop|psql|hive|redis-cli)\b [^\n|;]*? \s (?:-p [ ]? | -w [ ]+ | -a [ ]+)
+    | (?:\b|(?<=\\[nrt]))(?:mysql|mysqldump|mysqladmin|beeline|impala-shell|sshpass|mongo|sqoop|psql|hive|redis-cli)\b [^\n|;]*? \s (?:-p [ ]? | -w [ ]+ | -a [ ]+)
         (?: \\?"(?P<b>[^"\\\n]+)\\?" | \\?'(?P<c>[^'\\\n]+)\\?' | (?P<d>[^\s"'\\\-][^\s"'\\]*) )
     | --(?:password|passwd|pass|token|secret|api-key|apikey|access-key|secret-key|auth-token)(?:=|\s+) ["']? (?P<e>[^\s"']+)
     )"""
@@ -446,7 +448,10 @@ def _in_window(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
     at = lo
     while pairs and (m := ASSIGN.search(text, at, hi)):
         at = m.end("sep") if m["bare"] else m.end()
-        if not names_secret(m["name"]):
+        name = m["name"][1:] if m["name"][0] in "nrt" and text[m.start("name") - 1 : m.start("name")] == "\\" else m["name"]
+        if not names_secret(name):
+            if "\\" in (m["dq"] or ""):  # a text with lines of its own may assign too
+                at = m.end("sep")
             continue
         g = next((g for g in ("dq", "sq", "bare") if m[g] is not None), None)
         if g is None:

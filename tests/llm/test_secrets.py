@@ -266,3 +266,12 @@ def test_frames(spark):
     assert [(r.src_table, r.row_id, r.line_no) for r in got] == [("src", 1, 2)]
     assert [r.masked for r in S.masked(df, "t").orderBy("id").collect()] == ['a\npassword = "********"', None, ""]
     assert S.credentials(df.limit(0), "id", "t", "src").count() == 0
+
+
+@pytest.mark.parametrize("script", ["#!/bin/sh\nbeeline -n a -p kcvkd2MorOiV -e 'x'\n", f"x\n\tPassword={PW};y\n", "a\nghp_" + "a1B2c3D4" * 5 + "\n", f"x = 1\npassword = '{PW}'\n", f"x\r\napi_key: '{PW}'"])
+def test_scripts_within_json(script):
+    text = json.dumps({"a": 1, "content": script}, indent=1)
+    assert [text.count("\n", 0, f.start) + 1 for f in S.scan(text)] == [3]
+    masked = json.loads(S.mask(text))["content"]
+    assert masked.count("\n") == script.count("\n") and not any(x in masked for x in (PW, "kcvkd2MorOiV", "a1B2c3D4"))
+    assert S.scan(json.dumps({"content": "x\nnewtoken_count = 5\nnpassword_hint()\n"})) == []
