@@ -49,8 +49,8 @@ def new_templates(text: Column) -> Column:
 
 
 def new_import(line: Column, table: list[tuple] = C.MODULES) -> Column:
-    """``from module import x`` with the module's new place; a module that is gone makes it a remark; others stay."""
-    module = F.regexp_extract(line, r"^\s*from\s+([\w.]+)\s+import\b", 1)
+    """``from module import x`` or ``import module`` with the module's new place; a module that is gone makes it a remark; others stay."""
+    module = F.coalesce(F.nullif(F.regexp_extract(line, r"^\s*from\s+([\w.]+)\s+import\b", 1), F.lit("")), F.regexp_extract(line, r"^\s*import\s+([\w.]+)", 1))
     known = F.create_map(*(x for old, new in table for x in (F.lit(old), F.lit(new).cast("string"))))
     new = F.try_element_at(known, module)
     return F.when(~F.map_contains_key(known, module), line).when(new.isNull(), F.concat(F.lit("# REMOVED: "), line)).otherwise(F.replace(line, module, new))

@@ -26,10 +26,18 @@ def deprecated_hits(spark: SparkSession, d: str) -> DataFrame:
     return catalog.deprecated_hits(table(spark, d, "code_file").filter("file_path like '%.py'"), "file_id", "raw_code")
 
 
+#: Import lines of old workflow definitions.
+_OLD_LINES = [
+    "from airflow.operators.bash_operator import BashOperator", "from airflow.operators.subdag_operator import SubDagOperator", "import airflow.operators.python_operator as p",
+    "from airflow.models import DAG", "import airflow",
+]
+
+
 def new_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Every import line of the Python files, with modules of the catalog moved."""
-    lines = table(spark, d, "code_file").filter("file_path like '%.py'").select("file_id", F.explode(F.split("raw_code", "\n")).alias("line"))
-    return lines.filter(F.col("line").startswith("from ")).groupBy(catalog.new_import(F.col("line")).alias("line")).agg(F.count("*").alias("uses"))
+    """Every import line of the Python files and of a few old ones given here, with modules of the catalog moved."""
+    lines = table(spark, d, "code_file").filter("file_path like '%.py'").select(F.explode(F.split("raw_code", "\n")).alias("line"))
+    lines = lines.union(spark.createDataFrame([(x,) for x in _OLD_LINES], "line string"))
+    return lines.filter(F.col("line").rlike("^(from|import) ")).groupBy(catalog.new_import(F.col("line")).alias("line")).agg(F.count("*").alias("uses"))
 
 
 def new_params(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +63,8 @@ SQL = {
         for _, p, _, _, s in C.DEPRECATIONS
     ),
     "new_imports": f"""WITH mv(old, new) AS (VALUES {", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in C.MODULES)}),
-l AS (SELECT unnest(string_split(raw_code, chr(10))) AS line FROM code_file WHERE file_path LIKE '%.py'),
-m AS (SELECT line, regexp_extract(line, '^\\s*from\\s+([\\w.]+)\\s+import\\b', 1) AS module FROM l WHERE starts_with(line, 'from '))
+l AS (SELECT unnest(string_split(raw_code, chr(10))) AS line FROM code_file WHERE file_path LIKE '%.py' UNION ALL SELECT unnest([{", ".join(map(_lit, _OLD_LINES))}])),
+m AS (SELECT line, coalesce(nullif(regexp_extract(line, '^\\s*from\\s+([\\w.]+)\\s+import\\b', 1), ''), regexp_extract(line, '^\\s*import\\s+([\\w.]+)', 1)) AS module FROM l WHERE regexp_matches(line, '^(from|import) '))
 SELECT CASE WHEN old IS NULL THEN line WHEN new IS NULL THEN '# REMOVED: ' || line ELSE replace(line, module, new) END AS line, count(*) AS uses FROM m LEFT JOIN mv ON module = old GROUP BY 1""".replace("\\\\", "\\"),
     "new_params": "SELECT event_id, event_type AS schedule, 2 AS n FROM events",
     "new_templates": "SELECT event_id, '{{ logical_date }} {{ data_interval_end | ds }} {{ ds }} ' || event_type AS t FROM events",

@@ -57,8 +57,10 @@ def lineage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_variables(spark: SparkSession, d: str) -> DataFrame:
-    t = _sql(spark, d).filter("sql is not null").select("sql_id", F.inline(lineage.variables(F.col("sql"))))
-    return t.groupBy("sql_id", "kind", "name").agg(F.count("*").alias("uses"))
+    """Variables in all code files and statements."""
+    texts = _code(spark, d).select("file_id", F.col("raw_code").alias("t")).union(_sql(spark, d).select(-F.col("sql_id"), "sql"))
+    t = texts.filter("t is not null").select("file_id", F.inline(lineage.variables(F.col("t"))))
+    return t.groupBy("file_id", "kind", "name").agg(F.count("*").alias("uses"))
 
 
 def ctes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +94,14 @@ def rewrite_counts(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.inline("changes")).groupBy("rule").agg(F.sum("hits").alias("hits"))
 
 
+#: Modules of old workflow definitions: moved, moved to a provider, gone, unknown.
+_OLD_MODULES = ["airflow.operators.bash_operator", "airflow.contrib.operators.ssh_operator", "airflow.operators.subdag_operator", "airflow.made_up"]
+
+
 def module_moves(spark: SparkSession, d: str) -> DataFrame:
     """Modules that code imports: moved, removed or unknown, with the package that brings the new one."""
-    mods = _code(spark, d).select(F.explode("imports.module").alias("module")).groupBy("module").agg(F.count("*").alias("uses"))
+    known = spark.createDataFrame([(m,) for m in _OLD_MODULES], "module string")
+    mods = _code(spark, d).select(F.explode("imports.module").alias("module")).union(known).groupBy("module").agg(F.count("*").alias("uses"))
     return rewrite.providers(rewrite.moved(mods, "module"), "new_module")
 
 
@@ -203,8 +210,8 @@ QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, o) = 1""",
     "statements_by_file": "SELECT source_file, count(*) AS statements, min(line_start) AS first_line, max(line_end) AS last_line FROM extracted_sql WHERE sql IS NOT NULL GROUP BY source_file",
     "table_lineage": _TABLES,
     "lineage_counts": f"SELECT stmt_type, count(*) AS names, count(DISTINCT table_name) AS tables FROM ({_TABLES}) GROUP BY stmt_type",
-    "table_variables": f"""SELECT sql_id, CASE WHEN starts_with(v, '{{') THEN 'python' ELSE 'shell' END AS kind, regexp_replace(v, '[${{}}]', '', 'g') AS name, count(*) AS uses
-FROM (SELECT sql_id, unnest(regexp_extract_all(sql, {_lit(_VAR)})) AS v FROM extracted_sql) GROUP BY 1, 2, 3""",
+    "table_variables": f"""SELECT file_id, CASE WHEN starts_with(v, '{{') THEN 'python' ELSE 'shell' END AS kind, regexp_replace(v, '[${{}}]', '', 'g') AS name, count(*) AS uses
+FROM (SELECT file_id, unnest(regexp_extract_all(t, {_lit(_VAR)})) AS v FROM (SELECT file_id, raw_code AS t FROM code_file UNION ALL SELECT -sql_id, sql FROM extracted_sql)) GROUP BY 1, 2, 3""",
     "cte_counts": f"SELECT sql_id, len(names)::INT AS total, names[1] AS cte_name FROM ({_CTES}) WHERE len(names) > 0",
     "ctes": f"SELECT sql_id, names AS cte_names, len(names)::INT AS total, list_sort(list_distinct(names)) AS unique_names, is_recursive, len(names) > 1 AS is_multiple FROM ({_CTES}) WHERE len(names) > 0",
     "line_issues": _ISSUES,
@@ -213,7 +220,7 @@ FROM (SELECT sql_id, unnest(regexp_extract_all(sql, {_lit(_VAR)})) AS v FROM ext
 round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(avg(CASE WHEN compatibility_score > 0 THEN compatibility_score END), 6) AS avg_score FROM migration_result""",
     "issue_codes": f"SELECT code, count(*) AS hits FROM ({_ISSUES}) GROUP BY code",
     "rewrite_counts": f"SELECT split_part(c, '=', 1) AS rule, sum(split_part(c, '=', 2)::BIGINT)::BIGINT AS hits FROM (SELECT unnest(string_split(changes, ' ')) AS c FROM ({folded()}) WHERE changes <> '') GROUP BY 1",
-    "module_moves": f"""WITH m AS (SELECT module, count(*) AS uses FROM (SELECT unnest(imports).module AS module FROM code_file) GROUP BY module),
+    "module_moves": f"""WITH m AS (SELECT module, count(*) AS uses FROM (SELECT unnest(imports).module AS module FROM code_file UNION ALL SELECT unnest([{", ".join(map(_lit, _OLD_MODULES))}])) GROUP BY module),
 mv(old, new_module) AS (VALUES {", ".join(f"({_lit(a)}, {_lit(b) if b else 'NULL'})" for a, b in MODULE_MOVES)}),
 pr(prefix, provider, o) AS (VALUES {", ".join(f"({_lit(a)}, {_lit(b)}, {i})" for i, (a, b) in enumerate(PROVIDERS))})
 SELECT m.module, uses, new_module, CASE WHEN old IS NULL THEN 'unknown' WHEN new_module IS NULL THEN 'removed' ELSE 'moved' END AS kind,
