@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting that has the shuffle files of a query deleted at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of staged tables that this process made.
 _MADE: list[str] = []
 
@@ -83,13 +85,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut the lineage with a table in the shared folder: columnar and compressed, unlike a checkpoint."""
+def stage(df: DataFrame, name: str = "stage", tidy: bool = False) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: columnar and compressed, unlike a checkpoint.
+
+    ``tidy``: the shuffle files of the job are deleted as it ends. Else they stay until the driver collects its garbage.
+    """
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    was = spark.conf.get(TIDY, None)
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if was is None else spark.conf.set(TIDY, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(staged: DataFrame) -> None:
+    """Delete a staged table before the application ends. Whatever still reads it is lost."""
+    folders = {f.rsplit("/", 2)[-2] for f in staged.inputFiles()}
+    for path in [p for p in _MADE if p.rsplit("/", 1)[-1] in folders]:
+        fs, at = _file_system(staged.sparkSession, path)
+        fs.delete(at, True)
+        _MADE.remove(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for work that costs far more than moving the rows.
 
